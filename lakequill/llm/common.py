@@ -40,3 +40,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def crc_rem(column: str, n: int):
     """crc32 of the id written as text, modulo n; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what stored() wrote for df; nothing may read it any more."""
+    for path in df.inputFiles()[:1]:
+        jvm = df.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
