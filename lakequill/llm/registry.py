@@ -1,6 +1,6 @@
 """The queries of this folder and their SQL, by name."""
 
-from lakequill.llm import bpe, exact_dedup, language_id, mixing, near_dedup, substring_dedup, topk_search
+from lakequill.llm import bpe, exact_dedup, language_id, licenses, mixing, near_dedup, secrets, substring_dedup, topk_search
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -8,8 +8,10 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_bpe": bpe.op4_bpe,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_licenses": licenses.op6_licenses,
+    "op7_secrets": secrets.op7_secrets,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
-SQL = {"op2_topk_search": topk_search.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+SQL = {"op2_topk_search": topk_search.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op6_licenses": licenses.OP6_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
