@@ -120,7 +120,7 @@ def scan(docs: DataFrame, *, text: str = "text", known: dict[str, str] = SENTENC
     id_of = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, i)])
     name_of = F.create_map(*[F.lit(x) for n, ids in rules for x in ("".join(f"<{i}>" for i in ids), n)])
     kept = [c for c in docs.columns if c not in ("n_known", "sentence_ids", "licenses")]
-    hits = F.filter(sentences(text), lambda s: s.isin(list(known)))
+    hits = F.filter(sentences(text), lambda s: s.isin(list(known.values())))
     out = docs.select(*kept, F.coalesce(F.transform(hits, lambda s: F.element_at(id_of, s)), F.array().cast("array<string>")).alias("_ids"))
     sequence = F.array_join(F.transform("_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     matched = F.transform(F.regexp_extract_all(sequence, F.lit(f"({rule_pattern(rules)})"), F.lit(1)), lambda m: F.element_at(name_of, m))
