@@ -60,6 +60,19 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     )
 
 
+def distinct_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay, exactly one for each distinct text.
+
+    Joined by id and digest together, so that the copies of one text spread over the cluster.
+    """
+    by = [f"_by_{c}" for c in ("id", *KEY)]  # names that docs doesn't have
+    as_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    groups = merge_runs(docs, id_col=id_col, text=text, **options)
+    groups = groups.select(as_text("_keep").alias(by[0]), *[F.col(c).alias(b) for c, b in zip(KEY, by[1:], strict=True)])
+    rows = docs.select("*", as_text(id_col).alias(by[0]), *[d.alias(b) for d, b in zip(digests(docs, text), by[1:], strict=True)])
+    return rows.join(groups, by, "left_semi").dropDuplicates(by).select(*docs.columns)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

@@ -82,13 +82,8 @@ def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
         "source", F.when(F.col("rest") <= 0, F.lit(-1)).otherwise(F.coalesce("_edge", F.lit((1 << HASH_BITS) - 1))).alias("_upto"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2, seed: str = "mix") -> DataFrame:
-    """Per row of docs: its id, source, size, source_size, target (its source's) and taken (words).
-
-    size is the number of words, 0 for null texts; a null source is a source of its own, the last.
-    A document is taken 0 to `most` times, always whole. Repeated rows share their hash and are
-    taken alike. Sources without words have the target 0. An empty table gives no rows.
-    """
+def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """The slim table (_id, source, size, _h) and, per source, its size, target, whole passes and threshold."""
     slim = stored(docs.select(F.col(id_col).alias("_id"), F.col(source).alias("source"), word_count(text).alias("size"), hash60(id_col, seed).alias("_h")), "mix-sizes")
     totals = slim.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     plan = stored(source_targets(totals, weights, share, most), "mix-targets")
@@ -96,9 +91,29 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source:
     budgets = plan.select("source", (F.col("target") - F.col("_passes") * F.col("source_size")).alias("rest"))
     upto = thresholds(slim, budgets).withColumnRenamed("source", "_s2")
     plan = plan.join(upto, F.col("source").eqNullSafe(F.col("_s2"))).withColumnRenamed("source", "_s").drop("_s2")
-    copies = F.col("_passes") + F.when(F.col("_h") <= F.col("_upto"), 1).otherwise(0)
+    return slim, stored(plan, "mix-plan")
+
+
+COPIES = "_passes + CASE WHEN _h <= _upto THEN 1 ELSE 0 END"
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """Per row of docs: its id, source, size, source_size, target (its source's) and taken (words).
+
+    size is the number of words, 0 for null texts; a null source is a source of its own, the last.
+    A document is taken 0 to `most` times, always whole. Repeated rows share their hash and are
+    taken alike. Sources without words have the target 0. An empty table gives no rows.
+    """
+    slim, plan = mix_plan(docs, id_col=id_col, **options)
     return slim.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select(
-        F.col("_id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
+        F.col("_id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * F.expr(COPIES)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", source: str = "source", seed: str = "mix", **options) -> DataFrame:
+    """The mix itself: rows of docs, each as often as it is taken. Texts are filtered in place, never shuffled."""
+    _, plan = mix_plan(docs, id_col=id_col, source=source, seed=seed, **options)
+    rows = docs.withColumn("_h", hash60(id_col, seed)).join(plan, F.col(source).eqNullSafe(F.col("_s")))
+    return rows.withColumn("_copy", F.explode(F.expr(f"CASE WHEN {COPIES} > 0 THEN sequence(1, {COPIES}) ELSE array() END"))).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,5 +258,17 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", s
     ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay: of each component the one with the least id; all without words.
+
+    Rows that repeat both id and text are one document.
+    """
+    signed, labels = near_components(docs, id_col=id_col, text=text, **options)
+    rows = signed.select("id", "h", "sid").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("x")).select("x.id", "x.h")
+    stay = first.union(rows.where("comp is null").select("id", "h")).select(F.col("id").alias("_stay_id"), F.col("h").alias("_stay_h"))
+    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_stay_id")) & (F.xxhash64(text) == F.col("_stay_h")), "left_semi")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
