@@ -1,6 +1,6 @@
 """The queries of this folder and their SQL, by name."""
 
-from lakequill.llm import bpe, exact_dedup, language_id, licenses, mixing, near_dedup, secrets, substring_dedup, topk_search
+from lakequill.llm import bpe, exact_dedup, language_id, licenses, lm_scoring, mixing, near_dedup, secrets, substring_dedup, topk_search
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_licenses": licenses.op6_licenses,
     "op7_secrets": secrets.op7_secrets,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
