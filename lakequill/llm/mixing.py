@@ -112,8 +112,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", source: str = "source", seed: str = "mix", **options) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken. Texts are filtered in place, never shuffled."""
     _, plan = mix_plan(docs, id_col=id_col, source=source, seed=seed, **options)
-    rows = docs.withColumn("_h", hash60(id_col, seed)).join(plan, F.col(source).eqNullSafe(F.col("_s")))
-    return rows.withColumn("_copy", F.explode(F.expr(f"CASE WHEN {COPIES} > 0 THEN sequence(1, {COPIES}) ELSE array() END"))).select(*docs.columns)
+    own = plan.select(F.struct("_s", "_passes", "_upto").alias("__mix_plan"))  # no name of docs can clash with it
+    rows = docs.withColumn("__mix_hash", hash60(id_col, seed)).join(own, F.col(source).eqNullSafe(F.col("__mix_plan._s")))
+    copies = F.col("__mix_plan._passes") + F.when(F.col("__mix_hash") <= F.col("__mix_plan._upto"), 1).otherwise(0)
+    each = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>"))
+    return rows.select(*docs.columns, F.explode(each).alias("__mix_copy")).drop("__mix_copy")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
