@@ -6,7 +6,7 @@ import ast
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,18 +125,20 @@ CHUNKERS = {"CODE_PYTHON": chunk_python, "CODE_JS": chunk_js, "CODE_TS": chunk_j
 VERSIONS = {k: f"{k.lower()}-1" for k in CHUNKERS} | {"*": "text-1"}
 
 
-def chunks(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", doc_type: str | None = None, size: int = 0, overlap: int = 0) -> DataFrame:
-    """id, chunk_index, chunk_text of every document, by the chunker of its type. Narrow: no shuffle."""
-    kind = F.col(doc_type) if doc_type else F.lit("TXT")
+def chunks(docs: DataFrame, *, id_col: str = "doc_id", carry: tuple[str, ...] = (), text: str = "text", doc_type: str | None = None, size: int = 0, overlap: int = 0) -> DataFrame:
+    """id, carried columns, chunk_index, chunk_text of every document, by the chunker of its type. Narrow: no shuffle."""
+    own = [id_col, *carry]
+    n = len(own)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [CHUNKERS[k](t or "") if k in CHUNKERS else chunk_text(t, size, overlap) for k, t in zip(b["kind"], b["text"], strict=True)]
-            ids = [i for i, p in zip(b["id"], parts, strict=True) for _ in p]
-            yield pd.DataFrame({id_col: ids, "chunk_index": [k for p in parts for k in range(len(p))], "chunk_text": [c for p in parts for c in p]})
+            parts = [CHUNKERS[k](t or "") if k in CHUNKERS else chunk_text(t, size, overlap) for t, k in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
+            at = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())
+            index = pa.array([k for p in parts for k in range(len(p))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:n]), index, pa.array([c for p in parts for c in p], pa.string())], [*own, "chunk_index", "chunk_text"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), kind.alias("kind"))
-    return rows.mapInPandas(run, f"{id_col} {dict(docs.dtypes)[id_col]}, chunk_index int, chunk_text string")
+    rows = docs.select(*own, F.col(text).alias("_text"), (F.col(doc_type) if doc_type else F.lit("TXT")).alias("_kind"))
+    return rows.mapInArrow(run, docs.select(*own).schema.add("chunk_index", "integer").add("chunk_text", "string"))
 
 
 def char_chunks(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.chunk_overlap, least: int = DEFAULT.min_chunk) -> DataFrame:
@@ -156,12 +158,11 @@ def carry_sections(pages: DataFrame, *, doc: str, page: str, title: str) -> Data
 
 def page_chunks(pages: DataFrame, *, doc: str, page: str, text: str, title: str, size: int = 0, overlap: int = 0) -> DataFrame:
     """Chunks of pages with their page number and section, indexed through the document."""
-    carried = carry_sections(pages, doc=doc, page=page, title=title).withColumn("_key", F.struct(doc, page, title))
-    parts = chunks(carried, id_col="_key", text=text, size=size, overlap=overlap)
-    order = Window.partitionBy(f"_key.{doc}").orderBy(f"_key.{page}", "chunk_index")
+    carried = carry_sections(pages, doc=doc, page=page, title=title)
+    parts = chunks(carried, id_col=doc, carry=(page, title), text=text, size=size, overlap=overlap)
+    order = Window.partitionBy(doc).orderBy(page, "chunk_index")
     return parts.where(F.length("chunk_text") >= DEFAULT.min_chunk).select(
-        f"_key.{doc}", F.col(f"_key.{page}").alias("page_number"), F.col(f"_key.{title}").alias("section_title"),
-        (F.row_number().over(order) - 1).alias("chunk_index"), "chunk_text")
+        doc, F.col(page).alias("page_number"), F.col(title).alias("section_title"), (F.row_number().over(order) - 1).alias("chunk_index"), "chunk_text")
 
 
 def slide_chunks(slides: DataFrame, *, slide: str, text: str) -> DataFrame:
@@ -174,18 +175,21 @@ def markdown_fragments(docs: DataFrame, *, id_col: str, text: str) -> DataFrame:
 
     Anchors are slugs; those that repeat in a document get -1, -2 and so on.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, t in zip(b[id_col], b[text], strict=True):
+            at, rows = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
                 heads = [(m.start(), len(m[1]), m[2].strip()) for m in re.finditer(r"^(#{1,6})\s+(.+)$", t or "", re.MULTILINE)]
-                for n, (at, level, title) in enumerate(heads):
+                for n, (start, level, title) in enumerate(heads):
                     end = next((a for a, other, _ in heads[n + 1 :] if other <= level), len(t))
-                    rows.append((i, n, level, title, t[at:end].strip()))
-            yield pd.DataFrame(rows, columns=[id_col, "no", "level", "title", "fragment"])
+                    at.append(i)
+                    rows.append((n, level, title, t[start:end].strip()))
+            kinds = pa.int32(), pa.int32(), pa.string(), pa.string()
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], [id_col, "no", "level", "title", "fragment"])
 
     kind = dict(docs.dtypes)[id_col]
-    found = docs.select(id_col, text).mapInPandas(run, f"{id_col} {kind}, no int, level int, title string, fragment string").withColumn("_slug", T.slug(F.col("title")))
+    found = docs.select(id_col, text).mapInArrow(run, f"{id_col} {kind}, no int, level int, title string, fragment string").withColumn("_slug", T.slug(F.col("title")))
     again = F.row_number().over(Window.partitionBy(id_col, "_slug").orderBy("no")) - 1
     return found.withColumn("anchor", F.when(again > 0, F.concat_ws("-", "_slug", again)).otherwise(F.col("_slug"))).drop("_slug")
 
