@@ -22,13 +22,18 @@ def literal(values) -> Column:
     return F.array(*[F.lit(float(x)) for x in values])
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value worked out once: lambdas would otherwise work it out for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def embed(text: Column, dim: int = 768) -> Column:
     """Deterministic stand-in for an embedding model: counts of words hashed by crc32, at unit length.
 
     Texts without words get the first unit vector.
     """
     at = F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.crc32(w.cast("binary")) % dim).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(dot(counts, counts))
     unit = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), dim - 1))
-    return F.when(F.size(at) > 0, F.transform(counts, lambda x: x / norm)).otherwise(unit).cast("array<float>")
+    count = lambda places: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda x: x == i)).cast("double"))
+    scaled = lambda c: let(F.sqrt(dot(c, c)), lambda norm: F.when(norm > 0, F.transform(c, lambda x: x / norm)).otherwise(unit))
+    return let(let(at, count), scaled).cast("array<float>")

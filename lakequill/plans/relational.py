@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lakequill.operators import feedback, graph, memory, tables
+from lakequill.operators import feedback, graph, memory, orchestrate, tables
 from lakequill.plans.registry import Tables, query
 from lakequill.sources import sinks
 from lakequill.streaming import streams
@@ -266,3 +266,83 @@ def session_window(t):
 def metrics_export(t):
     counts = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("value"))
     return sinks.prometheus(counts.select(F.concat("event_type", F.lit("_total")).alias("name"), F.create_map(F.lit("kind"), "event_type").alias("labels"), "value"))
+
+
+# sync and cache counters, registry, listings
+@query("SELECT user_id, count(*) FILTER (event_type = 'signup') AS added, count(*) FILTER (event_type = 'view') AS updated, count(*) FILTER (event_type = 'error') AS deleted FROM events GROUP BY 1")
+def sync_run_counters(t):
+    return feedback.counters(t.events, "user_id", "event_type", {"signup": "added", "view": "updated", "error": "deleted"})
+
+
+@query("SELECT user_id, round(count(*) FILTER (event_type = 'view')::DOUBLE / count(*), 4) AS hit_rate FROM events GROUP BY 1")
+def cache_hit_rate(t):
+    return t.events.groupBy("user_id").agg(F.round(F.count_if(F.col("event_type") == "view") / F.count(F.lit(1)), 4).alias("hit_rate"))
+
+
+@query("SELECT p_partkey, p_partkey = 7 AS active FROM part")
+def model_registry(t):
+    return tables.activate(t.part.select("p_partkey"), 7, "p_partkey")
+
+
+@query("SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 10")
+def top_entities(t):
+    return tables.page(t.part.groupBy("p_type").agg(F.count(F.lit(1)).alias("n")), [F.col("n").desc(), F.col("p_type")], limit=10)
+
+
+@query("SELECT conv_id FROM (SELECT conv_id, max(turn) AS last, max(CASE WHEN role = 'system' THEN turn END) AS done FROM conversations GROUP BY 1) WHERE done IS NULL OR done < last")
+def memory_due(t):
+    """Conversations with turns after the last one from which memories were extracted."""
+    c = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("updated_at"), F.max(F.when(F.col("role") == "system", F.col("turn"))).alias("memory_extracted_at"))
+    return memory.due(c).select("conv_id")
+
+
+@query("""SELECT vec_id AS id, coalesce(n, 0) AS use_count, n IS NOT NULL AS was_used FROM embeddings LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) ON user_id = vec_id""")
+def memory_usage(t):
+    m = t.embeddings.select(F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("use_count"), F.lit(None).cast("timestamp").alias("last_used"))
+    hits = t.events.where("event_type = 'click'").select(F.col("user_id").alias("id"))
+    return memory.used(m, hits, F.lit("2026-01-01").cast("timestamp")).select("id", "use_count", F.col("last_used").isNotNull().alias("was_used"))
+
+
+@query("""WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 4 <> 0)
+SELECT a.l_suppkey AS source, b.l_suppkey AS target, count(*) AS weight FROM m a JOIN m b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey GROUP BY 1, 2""")
+def document_edges_dropped(t):
+    """The graph once a quarter of the orders is deleted."""
+    gone = t.orders.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    return graph.edges(graph.without_document(t.lineitem, gone, "l_orderkey"), "l_orderkey", "l_suppkey")
+
+
+@query("SELECT count(*) FILTER (s IS NOT NULL) AS n_semantic, count(*) FILTER (h IS NOT NULL) AS n_hybrid, count(*) FILTER (s IS NOT NULL AND h IS NOT NULL) AS n_both, CASE WHEN count(*) FILTER (h IS NOT NULL) > count(*) FILTER (s IS NOT NULL) THEN 'hybrid' ELSE 'semantic' END AS recommendation FROM (SELECT doc_id AS s FROM labels) FULL JOIN (SELECT doc_id AS h FROM documents WHERE lang = 'en') ON s = h")
+def search_diagnostic(t):
+    return orchestrate.diagnostic(t.labels.select("doc_id"), t.documents.where("lang = 'en'").select("doc_id"), "doc_id")
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END AS title FROM conversations WHERE turn = 0")
+def conversation_titles(t):
+    return t.conversations.where("turn = 0").select("conv_id", "turn", orchestrate.title(F.col("text")).alias("title"))
+
+
+@query("SELECT o_orderstatus, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) = 1")
+def earliest_row(t):
+    return tables.keep_newest(t.orders.select("o_orderstatus", "o_orderkey", "o_orderdate"), ["o_orderstatus"], [F.col("o_orderdate"), F.col("o_orderkey")])
+
+
+@query("SELECT event_id, get_k AS k FROM (SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS get_k FROM events) WHERE get_k > 50")
+def json_metadata_filter(t):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return t.events.select("event_id", k.alias("k")).where("k > 50")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority NOT IN ('1-URGENT')")
+def any_all_filter(t):
+    return t.orders.where(F.col("o_orderstatus").isin("F", "P") & ~F.col("o_orderpriority").isin("1-URGENT")).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT n_name, r_name, count(c_custkey) AS members FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def members_by_workspace(t):
+    per = tables.counts_of(t.nation, "n_nationkey", members=(t.customer, "c_nationkey"))
+    return per.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", "members")
+
+
+@query("SELECT page_id, url, length(html) AS n FROM pages WHERE length(html) <= 2000 OR url LIKE '%/0%'")
+def suffix_and_size_filter(t):
+    return t.pages.where((F.length("html") <= 2000) | F.col("url").like("%/0%")).select("page_id", "url", F.length("html").cast("long").alias("n"))

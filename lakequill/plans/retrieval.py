@@ -264,4 +264,44 @@ def memory_new_only(t):
     return memory.new_only(rows.where("vec_id >= 250"), rows.where("vec_id < 250"), id_col="vec_id", scope="label", floor=0.35).select("vec_id")
 
 
+@query()
+def answer_payload(t):
+    from lakequill.operators import orchestrate
+
+    return orchestrate.payload(search.hybrid_search(chunked(t), stated_queries(t)))
+
+
+@query()
+def job_matrix(t):
+    from lakequill.operators import orchestrate
+
+    asked = stated_queries(t).select("query_id", "query", F.array(F.lit("documents"), F.lit("pages"), F.lit("mail")).alias("tools"))
+    docs, pages = t.documents, t.pages
+    tools = {
+        "documents": lambda q: q.join(search.lexical_search(docs, "inin", k=3, id_col="doc_id", text="text").select("doc_id", "lexical_score"), F.col("query").contains("inin")).select("query_id", "doc_id", "lexical_score"),
+        "pages": lambda q: q.join(pages.orderBy("page_id").limit(2).select("page_id"), F.lit(True)).select("query_id", "page_id"),
+    }
+    return orchestrate.job_matrix(asked, tools)
+
+
+@query("SELECT doc_id, sha256('default:' || text) AS cache_key FROM documents WHERE text IS NOT NULL")
+def embedding_cache_keys(t):
+    return t.documents.where("text IS NOT NULL").select("doc_id", F.sha2(F.concat(F.lit("default:"), "text").cast("binary"), 256).alias("cache_key"))
+
+
+@query()
+def embedded_chunks(t):
+    """Every distinct chunk embedded once, by the deterministic stand-in for a model."""
+    from lakequill.operators import orchestrate
+
+    return orchestrate.embedded(chunking.char_chunks(t.documents), lambda c: V.embed(c, 32), text="chunk_text").select("doc_id", "chunk_index", F.array_join("embedding", ",").alias("embedding"))
+
+
+@query()
+def entity_mentions(t):
+    from lakequill.operators import graph
+
+    return graph.extract(t.documents, id_col="doc_id", text="text")
+
+
 assert DEFAULT.top_k == 30  # the SQL above has the defaults
