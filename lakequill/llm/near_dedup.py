@@ -134,7 +134,8 @@ def signatures(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
 def full_sets(docs: DataFrame, chosen: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     """chosen: sid, id, h. The packed full set of each sid, read from the text at that address."""
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).cast("binary").alias("_t"))
-    rows = texts.join(chosen, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h"))).select("sid", "_t")
+    # shuffled at every size: chosen grows with the input
+    rows = texts.hint("merge").join(chosen, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h"))).select("sid", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
