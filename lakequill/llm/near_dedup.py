@@ -4,13 +4,15 @@
    40 band keys of 5 samples and an odd sketch: each sample flips one of 512 bits, so the bits in
    which two sketches differ count the samples in which two sets differ. Two sets of similarity 0.75
    share a band with a probability of 1 - 2e-5.
-2. Classes that share a band key are a bucket. All pairs of a bucket are never formed. In each of a
-   few rounds every class of a bucket that still spans several components is compared with one class
-   of it, drawn anew, by sketch; the best of a class are confirmed on the full sets and joined.
-   A group of near copies thus falls into one component with a number of comparisons in proportion
-   to its size. What a bucket then still has outside its largest component is compared with all the
-   rest of it, so that no link between components is left out.
-3. Components come from min-label propagation over links between components.
+2. Classes that share a band key are a bucket. Every class is compared with one class of each of its
+   buckets, drawn anew in each of a few rounds, by sketch; the best are confirmed on the full sets
+   and joined. A group of near copies thus falls into few components with a number of comparisons
+   in proportion to its size.
+3. What is then still outside the largest component is compared with the rest, so that no link
+   between components is left out: within small buckets pair by pair, those that sketches can't
+   rule out; within clusters of classes that share large buckets, block against block, where one
+   matrix product counts the shared shingles of all pairs. Pairs of a large group are never rows.
+4. Components come from min-label propagation over links between components.
 
 Classes are 64-bit hashes: n distinct texts give about n*n/2**65 false merges.
 """
@@ -30,6 +32,8 @@ from lakequill.llm.common import discard, stored, table
 SHINGLE, BANDS, ROWS = 5, 40, 5
 SAMPLES, WORDS = BANDS * ROWS, 8  # MinHash samples; 64-bit words of a sketch
 CACHED = 400_000  # word hashes that a worker holds at once
+LARGE = 64  # members from which on a bucket counts as large
+BLOCK, COLUMNS = 256, 8192  # classes in a block; shingles that a matrix product takes at once
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -145,10 +149,15 @@ def full_sets(docs: DataFrame, chosen: DataFrame, id_col: str, text: str, size:
     return rows.mapInArrow(run, "sid long, shingles binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, ..) whose full sets have 100 * intersection >= percent * union."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, grows: bool) -> DataFrame:
+    """The pairs (a, b, ..) whose full sets have 100 * intersection >= percent * union.
+
+    grows: as many pairs as there are near copies, so that joins are by shuffle at every size.
+    """
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
+    if grows:
+        left, right = left.hint("merge"), right.hint("merge")
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +190,56 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("sid", "comp")
 
 
-def near_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = 75, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
-    """signatures (id, n, sid) and labels (sid, comp) of the classes that have a link."""
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right."""
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for i in range(0, len(common), COLUMNS):
+        part = common[i : i + COLUMNS]
+        sides = []
+        for side in (left, right):
+            m = np.zeros((len(side), len(part)), np.float32)
+            for r, s in enumerate(side):
+                s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]  # noqa: PLW2901
+                at = np.minimum(np.searchsorted(part, s), len(part) - 1)
+                m[r, at[part[at] == s]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def links_in_clusters(clusters: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components within clusters (sid, cluster): what is outside a cluster's
+    largest component against all of it, in blocks. One link for each two components and blocks."""
+    nodes = clusters.join(labels, "sid")
+    per = nodes.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = per.groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("n")).select("cluster", F.col("m.comp").alias("main"), "n", (F.col("n") - F.col("m.c")).alias("n_out")).where("n_out > 0")
+    rows = nodes.join(sizes, "cluster").join(sets.select("sid", "shingles"), "sid")
+    deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "sid"), F.ceil(F.col(n) / BLOCK)).cast("int")
+    packed = lambda d, at, name: d.groupBy("cluster", at).agg(F.collect_list(F.struct("sid", "comp", "shingles")).alias(name), F.first("n").alias(f"n_{name}"))
+    every = packed(rows.withColumn("block", deal("n", "all")), "block", "every")
+    outside = packed(rows.where("comp <> main").withColumn("own", deal("n_out", "out")), "own", "outside")
+    outside = outside.withColumn("block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n_outside") / BLOCK) - 1).cast("int"))))
+    pairs = outside.join(every, ["cluster", "block"]).select("outside", "every")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[int, int], tuple[int, int]] = {}
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = x.as_py(), y.as_py()  # noqa: PLW2901
+                left, right = ([unpack(r["shingles"]) for r in side] for side in (x, y))
+                both = shared_counts(left, right)
+                total = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
+                apart = np.array([r["comp"] for r in x])[:, None] != np.array([r["comp"] for r in y])[None, :]
+                for i, j in zip(*np.nonzero(apart & (100 * both >= percent * (total - both))), strict=True):
+                    found.setdefault((x[i]["comp"], y[j]["comp"]), (x[i]["sid"], y[j]["sid"]))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found.values()], pa.int64()), "b": pa.array([b for _, b in found.values()], pa.int64())})
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def near_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = 75, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """signatures (id, n, sid) and labels (sid, comp) of the classes that share a bucket."""
     signed = stored(signatures(docs, id_col, text, size), "near-signed")
     rows = signed.where("sid is not null")
     keyed = rows.select(F.explode("keys").alias("key"), "sid")
@@ -192,22 +249,20 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     one = rows.groupBy("sid").agg(F.min(F.struct("id", "h", "n", *SKETCH)).alias("x")).join(nodes, "sid").select("sid", "x.*")
     one = stored(one, "near-nodes")
     sets = stored(full_sets(docs, one.select("sid", "id", "h"), id_col, text, size).dropDuplicates(["sid"]), "near-sets")
-    buckets = stored(members.join(one.select("sid", "n", *SKETCH), "sid"), "near-buckets")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("_m"), F.min("sid").alias("first"))
+    buckets = stored(members.join(sizes, "key").join(one.select("sid", "n", *SKETCH), "sid").withColumn("large", F.col("_m") >= LARGE).drop("_m"), "near-buckets")
     discard(members)
     discard(one)
-    labels = buckets.select("sid", F.col("sid").alias("comp")).distinct()
-    labels = stored(labels, "near-all-labels")
+    labels = stored(buckets.select("sid", F.col("sid").alias("comp")).distinct(), "near-all-labels")
 
     limit = sketch_limit(percent / 100)
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"r.{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"r.{SKETCH[0]}"))))
     alike = (apart <= limit) & (F.lit(100) * F.least("n", "r.n") >= percent * F.greatest("n", "r.n")) & (F.col("comp") != F.col("r.comp"))
 
-    def joined(pairs: DataFrame) -> bool:
-        """Confirm pairs, and move labels; whether any moved."""
+    def joined(links: DataFrame) -> bool:
+        """Move the labels of components that links (a, b) join; whether any moved."""
         nonlocal labels
-        pairs = stored(pairs, "near-pairs")
-        links = stored(confirmed(pairs, sets, percent), "near-links")
-        discard(pairs)
+        links = stored(links, "near-links")
         if links.isEmpty():
             return False
         of = lambda c: labels.select(F.col("sid").alias(c), F.col("comp").alias(f"c{c}"))
@@ -218,25 +273,30 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         labels = new
         return True
 
-    for k in range(rounds):
-        open_ = buckets.join(labels, "sid")
+    for k in range(rounds):  # after the first, only where groups are large
+        open_ = (buckets.where("large") if k else buckets).join(labels, "sid")
         drawn = F.struct(F.xxhash64(F.lit(k), "sid").alias("o"), "sid", "comp", "n", *SKETCH)
         mark = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(drawn).alias("r")).where("lo <> hi").select("key", "r")
         met = open_.join(mark, "key").where(alike).select("sid", "comp", F.col("r.sid").alias("other"), F.col("r.comp").alias("to"), apart.alias("d"))
-        if k:  # later rounds only bring components together: the best pair of each two, twice
-            best = met.groupBy("comp", "to").agg(F.min(F.struct("d", "sid", "other")).alias("p"), F.min(F.struct(F.xxhash64("sid", "other").alias("d"), "sid", "other")).alias("q"))
-            pairs = best.select(F.explode(F.array(*[F.struct(F.col(f"{c}.sid").alias("a"), F.col(f"{c}.other").alias("b")) for c in "pq"])).alias("x")).select("x.*").distinct()
-        else:
-            pairs = met.groupBy("sid").agg(F.min(F.struct("d", "other")).alias("p")).select(F.col("sid").alias("a"), F.col("p.other").alias("b"))
-        if not joined(pairs) and k:
+        best = met.groupBy(*(("comp", "to") if k else ("sid",))).agg(F.min(F.struct("d", "sid", "other")).alias("p"))
+        pairs = stored(best.select(F.col("p.sid").alias("a"), F.col("p.other").alias("b")), "near-pairs")
+        if not joined(confirmed(pairs, sets, percent, grows=not k)) and k:
             break
-    open_ = stored(buckets.join(labels, "sid"), "near-open")
-    discard(buckets)
+        discard(pairs)
+    open_ = stored(buckets.where("NOT large").join(labels, "sid"), "near-open")
     largest = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"))
     outside = open_.join(largest, "key").where("comp <> main").select("key", F.struct("sid", "comp", "n", *SKETCH).alias("r"))
     rest = open_.join(outside, "key").where(alike).select(F.least("sid", "r.sid").alias("a"), F.greatest("sid", "r.sid").alias("b")).distinct()
-    joined(rest)
+    pairs = stored(rest, "near-pairs")
+    joined(confirmed(pairs, sets, percent, grows=True))
+    discard(pairs)
     discard(open_)
+    large = stored(buckets.where("large").select("first", "sid").distinct(), "near-large")
+    discard(buckets)
+    if not large.isEmpty():
+        clusters = components(large.select(F.col("first").alias("a"), F.col("sid").alias("b"))).select("sid", F.col("comp").alias("cluster"))
+        joined(links_in_clusters(clusters, labels, sets, percent))
+    discard(large)
     discard(sets)
     return signed, labels
 
