@@ -25,44 +25,56 @@ class Segment:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], vectors[order].astype(np.float64)
-        self.down = np.argsort(-self.x, axis=0, kind="stable")  # a column is a dimension's list
-        self.values = np.take_along_axis(self.x, self.down, axis=0)
+        largest = np.abs(vectors).max(initial=0)
+        exact = np.float32 if largest * largest * vectors.shape[1] < 1 << 24 else np.float64  # products are whole numbers
+        self.ids, self.x = ids[order], vectors[order].astype(exact)
+        down = np.argsort(-self.x, axis=0, kind="stable").astype(np.int32)
+        self.lists = down, down[::-1]  # from the top and from the bottom; a column is a dimension's list
+        values = np.take_along_axis(self.x, down, axis=0).astype(np.float64)
+        self.values = values, values[::-1]
 
     def search(self, query_id: int, q: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """best (scores, ids), at most k of them and in order, with this segment's vectors taken in."""
         n = len(self.ids)
-        dims = np.nonzero(q)[0]
-        up = q[dims] < 0
-        w = q[dims]
-        seen = self.ids == query_id
-        depth, step = 0, max(k, n // 64)
+        sides = [(lists, values, dims, q[dims]) for lists, values, dims in zip(self.lists, self.values, (np.nonzero(q > 0)[0], np.nonzero(q < 0)[0]), strict=True)]
+        own = q.astype(self.x.dtype)
         scores, ids = best
-        while depth < n:
+        seen = self.ids == query_id
+        left, depth, step = n - int(seen.sum()), 0, max(k, n // 24)
+        if len(scores) == k and self.bound(sides, 0) < scores[-1]:
+            return best
+        while left:
             end = min(n, depth + step)
-            if len(dims):
-                rows = np.where(up, n - 1 - np.arange(depth, end)[:, None], np.arange(depth, end)[:, None])
-                new = np.zeros(n, bool)
-                new[self.down[rows, dims]] = True
-                new &= ~seen
-            else:  # all score 0
-                new, end = ~seen, n
+            new = np.zeros(n, bool)
+            for lists, _, dims, _ in sides:
+                new[lists[depth:end, dims].ravel()] = True
+            if end == n:
+                new[:] = True  # dimensions in which the query is 0 have no list to walk
+            new &= ~seen
             at = np.nonzero(new)[0]
             seen |= new
+            left -= len(at)
             if len(at):
-                s, i = np.concatenate([scores, self.x[at] @ q]), np.concatenate([ids, self.ids[at]])
+                found = ((self.x @ own)[at] if 4 * len(at) > n else self.x[at] @ own).astype(np.float64)
+                if len(scores) == k:  # what doesn't reach the k-th score can't stay
+                    reach = found >= scores[-1]
+                    at, found = at[reach], found[reach]
+                s, i = np.concatenate([scores, found]), np.concatenate([ids, self.ids[at]])
                 if len(s) > 4 * k:  # only what reaches the k-th score, ties with it too
                     keep = s >= np.partition(s, len(s) - k)[len(s) - k]
                     s, i = s[keep], i[keep]
                 order = np.lexsort((i, -s))[:k]
                 scores, ids = s[order], i[order]
-            if len(scores) == k:
-                bound = w @ self.values[np.where(up, n - end, end - 1), dims] if len(dims) else 0.0
-                if bound < scores[-1]:
-                    break
+            if len(scores) == k and self.bound(sides, end - 1) < scores[-1]:
+                break
             depth, step = end, 2 * step
         return scores, ids
 
+    @staticmethod
+    def bound(sides: list, at: int) -> float:
+        """The most that a vector can score that no list has shown down to depth `at`."""
+        return sum(float(w @ values[at, dims]) for _, values, dims, w in sides)
+
 
 def quantised(vectors: DataFrame, id_col: str, vector: str, scale: float) -> DataFrame:
     """id and v (integers floor(scale * x)); rows with a null id or a null or non-finite component go."""
