@@ -67,26 +67,23 @@ def lexical_match(docs: DataFrame, query: str, *, text: str) -> DataFrame:
     return docs.where(F.size(F.array_except(F.array(*[F.lit(t) for t in wanted]), T.lexemes(F.col(text)))) == 0)
 
 
-def cover_density(lexemes: Column, wanted: list[str]) -> Column:
-    """Cover-density rank r / (r + 1) of a text for terms that must all occur.
+def cover_density(lexemes: Column, wanted: Column) -> Column:
+    """Cover-density rank r / (r + 1) of a text for the terms (an array without repeats), all of which must occur.
 
     A cover is a shortest span with all terms; each adds 0.1 / (1 + words in it that are none of
     them). Spans are found in one pass: at each hit, the least of the terms' last places starts the
-    shortest span that ends here, and it is a cover if no later end shares its start.
+    shortest span that ends here, and it is a cover if no earlier end has the same start.
     """
-    if len(wanted) == 1:
-        r = F.lit(0.1) * F.size(F.filter(lexemes, lambda t: t == wanted[0]))
-        return r / (r + 1)
-    places = F.filter(F.transform(lexemes, lambda t, i: F.struct((i + 1).alias("p"), F.array_position(F.array(*[F.lit(w) for w in wanted]), t).cast("int").alias("k"))), lambda x: x["k"] > 0)
-    n = len(wanted)
-    start = F.struct(F.array_repeat(F.lit(0), n).alias("last"), F.lit(0).alias("from"), F.lit(0).alias("hits"), F.lit(0.0).alias("rank"))
+    n = F.size(wanted)
+    places = F.filter(F.transform(lexemes, lambda t, i: F.struct((i + 1).alias("p"), F.array_position(wanted, t).cast("int").alias("k"))), lambda x: x["k"] > 0)
+    start = F.struct(F.array_repeat(F.lit(0), n).alias("last"), F.lit(0).alias("from"), F.lit(0.0).alias("rank"))
 
     def step(acc: Column, x: Column) -> Column:
         last = F.transform(acc["last"], lambda p, i: F.when(i + 1 == x["k"], x["p"]).otherwise(p))
         low = F.array_min(last)
-        new = (low > acc["from"])
-        noise = (x["p"] - low) - (n - 1)
-        return F.struct(last.alias("last"), F.when(new, low).otherwise(acc["from"]).alias("from"), (acc["hits"] + new.cast("int")).alias("hits"), (acc["rank"] + F.when(new, F.lit(0.1) / (1 + F.greatest(noise, F.lit(0)))).otherwise(0.0)).alias("rank"))
+        new = low > acc["from"]
+        noise = F.greatest((x["p"] - low) - (n - 1), F.lit(0))
+        return F.struct(last.alias("last"), F.when(new, low).otherwise(acc["from"]).alias("from"), (acc["rank"] + F.when(new, F.lit(0.1) / (1 + noise)).otherwise(0.0)).alias("rank"))
 
     r = F.aggregate(places, start, step)["rank"]
     return r / (r + 1)
@@ -95,7 +92,8 @@ def cover_density(lexemes: Column, wanted: list[str]) -> Column:
 def lexical_search(docs: DataFrame, query: str, *, k: int = DEFAULT.top_k, id_col: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
     wanted = query_terms(query)
     found = lexical_match(docs, query, text=text)
-    score = F.round(cover_density(T.lexemes(F.col(text)), wanted), V.EXACT) if wanted else F.lit(0.0)
+    terms = F.array(*[F.lit(t) for t in wanted])
+    score = F.round(cover_density(T.lexemes(F.col(text)), terms), V.EXACT) if wanted else F.lit(0.0)
     return top_k(found.withColumn("lexical_score", score), k, "lexical_score", id_col)
 
 
@@ -134,12 +132,11 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, *, params: Params = DEF
 
     k = 2 * params.top_k
     sem = vector_search_batch(chunks, queries, k=k, floor=params.min_similarity, id_col=id_col).select("query_id", id_col, F.col("similarity").alias("semantic_score"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(T.lexemes(F.col("query")))).alias("term"))
-    sizes = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    hit = postings(chunks, id_col=id_col, text="chunk_text").join(wanted, "term")
-    full = hit.groupBy("query_id", id_col).agg(F.count(F.lit(1)).alias("m"), F.min(F.size("positions")).alias("least")).join(sizes, "query_id").where("m = n")
-    rank = F.lit(0.1) * F.col("least")
-    lex = top_k(full.withColumn("lexical_score", F.round(rank / (rank + 1), V.EXACT)), k, "lexical_score", id_col, ["query_id"]).select("query_id", id_col, "lexical_score")
+    asked = queries.select("query_id", F.array_distinct(T.lexemes(F.col("query"))).alias("terms")).where(F.size("terms") > 0)
+    hit = postings(chunks, id_col=id_col, text="chunk_text").join(asked.select("query_id", F.explode("terms").alias("term")), "term")
+    full = hit.groupBy("query_id", id_col).agg(F.count(F.lit(1)).alias("m")).join(asked, "query_id").where(F.col("m") == F.size("terms"))
+    ranked = full.join(chunks.select(id_col, "chunk_text"), id_col).withColumn("lexical_score", F.round(cover_density(T.lexemes(F.col("chunk_text")), F.col("terms")), V.EXACT))
+    lex = top_k(ranked.select("query_id", id_col, "lexical_score"), k, "lexical_score", id_col, ["query_id"]).select("query_id", id_col, "lexical_score")
     found = members(blend(sem, lex, ["query_id", id_col], weight=params.semantic_weight, by=["query_id"]), params.min_similarity)
     rows = found.join(chunks.drop("embedding"), id_col).join(queries.select("query_id", "query"), "query_id")
     return diverse_and_ranked(rows, params, id_col)

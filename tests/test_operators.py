@@ -149,7 +149,7 @@ def test_cover_density(spark):
     rows = [(i, " ".join(rng.choice("abcdex") for _ in range(rng.randint(2, 25)))) for i in range(60)]
     df = spark.createDataFrame(rows, "i long, t string")
     for wanted in (["a"], ["a", "b"], ["a", "b", "c"]):
-        got = {r["i"]: r["s"] for r in df.select("i", search.cover_density(T.lexemes(F.col("t")), wanted).alias("s")).collect()}
+        got = {r["i"]: r["s"] for r in df.select("i", search.cover_density(T.lexemes(F.col("t")), F.array(*[F.lit(w) for w in wanted])).alias("s")).collect()}
         for i, t in rows:
             if set(wanted) <= set(t.split()):
                 assert got[i] == pytest.approx(cover_ranks(t.split(), wanted)), (t, wanted)
