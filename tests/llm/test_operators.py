@@ -379,3 +379,13 @@ def test_attention_learns():
     before = model.token_logs(seqs).mean()
     model.fit(seqs, steps=300)
     assert model.token_logs(seqs).mean() > before + 0.1
+
+
+def test_lm_score_does_not_depend_on_what_is_broadcast(odd, monkeypatch):
+    """Rare known words keep their share of the corpus in score, whether they are broadcast or joined."""
+    scores = {}
+    for heavy in (30, 1 << 19):
+        monkeypatch.setattr(lm_scoring, "HEAVY", heavy)
+        train = odd.where("doc_id > 5").select("doc_id", "text")
+        scores[heavy] = sorted((r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in rows_of(lm_scoring.score_texts(odd.select("doc_id", "text"), train, train_docs=30)))
+    assert [x[2] for x in scores[30]] == pytest.approx([x[2] for x in scores[1 << 19]], rel=1e-6)
