@@ -389,3 +389,27 @@ def test_lm_score_does_not_depend_on_what_is_broadcast(odd, monkeypatch):
         train = odd.where("doc_id > 5").select("doc_id", "text")
         scores[heavy] = sorted((r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in rows_of(lm_scoring.score_texts(odd.select("doc_id", "text"), train, train_docs=30)))
     assert [x[2] for x in scores[30]] == pytest.approx([x[2] for x in scores[1 << 19]], rel=1e-6)
+
+
+def test_lm_counts_transitions_of_every_text(spark, odd, odd_rows):
+    """Class bigrams cover the whole training part, whatever train_docs; copies count as often as they come."""
+    rng = np.random.default_rng(5)
+    model = lm_scoring.Attention(rng.integers(0, 50, lm_scoring.END + 1))
+    lexicon = lm_scoring.Lexicon(lm_scoring.NO_WORDS, lm_scoring.NO_WORDS, None)
+    want = model.transitions(lm_scoring.looked_up([r[1] for r in odd_rows], lexicon))
+    assert (lm_scoring.all_transitions(odd, model, "text", None) == want).all()
+    assert want.sum() == sum(len(x) for x in lm_scoring.looked_up([r[1] for r in odd_rows], lexicon))
+
+
+def test_lm_attention_learns_from_tasks(odd, monkeypatch):
+    """Texts beyond the driver's sample move the attention weights."""
+    seen, whole = [], lm_scoring.train_in_tasks
+
+    def watched(training, model, *rest):
+        before = model.p["v"].copy()
+        seen.append((whole(training, model, *rest), np.abs(model.p["v"] - before).max()))
+
+    monkeypatch.setattr(lm_scoring, "train_in_tasks", watched)
+    monkeypatch.setattr(lm_scoring, "SHARE", 0.9)
+    lm_scoring.score_texts(odd.select("doc_id", "text"), odd, train_docs=1)
+    assert seen[0][0] > 100 and 0 < seen[0][1] < 1
