@@ -1,7 +1,8 @@
 """License scans by sentence rules, in DataFrame operations alone.
 
 A text is cut into sentences, each sentence is normalised (ASCII letters lower-cased, everything
-but letters and digits made one space) and looked up among known licence sentences. What is known
+but letters and digits made one space) and looked up among known licence sentences; a known sentence
+that line breaks, colons, abbreviations or an address after it divide into several is found too. What is known
 leaves a sequence of identifiers, in text order; rules are ordered sequences of identifiers, tried
 from the longest to the shortest at each place, and each identifier counts for one rule only.
 """
@@ -96,14 +97,20 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARK = "\x01"
 ENDS, LINES = r"([.!?;:])[\t-\r ]+", r"[\r\n]+[\t ]*([A-Z0-9(])"
+ADDRESS = r"(?=https?://)"
 
 
 def sentences(text: str):
-    """Normalised sentences in order: cut after . ! ? ; : and before a line that starts with a capital, digit or bracket."""
-    marked = F.regexp_replace(F.regexp_replace(F.col(text), ENDS, f"$1{MARK}"), LINES, f"{MARK}$1")
+    """Normalised sentences in order: cut after . ! ? ; : and before an address or a line that starts with a capital, digit or bracket."""
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(text), ENDS, f"$1{MARK}"), LINES, f"{MARK}$1"), ADDRESS, MARK)
     return F.transform(F.split(marked, MARK), lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
 
 
+def known_pattern(known) -> str:
+    """A known sentence between marks, longest first; for each space there may be marks, where the cutter divided it."""
+    return f"{MARK}(" + "|".join(s.replace(" ", f"(?: |{MARK}+)") for s in sorted(known, key=len, reverse=True)) + f")(?={MARK})"
+
+
 def rule_pattern(rules=RULES) -> str:
     longest = sorted(rules, key=lambda r: -len(r[1]))  # stable: rules of a length keep their order
     return "|".join("".join(f"<{i}>" for i in ids) for _, ids in longest)
@@ -120,7 +127,9 @@ def scan(docs: DataFrame, *, text: str = "text", known: dict[str, str] = SENTENC
     id_of = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, i)])
     name_of = F.create_map(*[F.lit(x) for n, ids in rules for x in ("".join(f"<{i}>" for i in ids), n)])
     kept = [c for c in docs.columns if c not in ("n_known", "sentence_ids", "licenses")]
-    hits = F.filter(sentences(text), lambda s: s.isin(list(known.values())))
+    marked = F.concat(F.lit(MARK), F.array_join(sentences(text), MARK), F.lit(MARK))
+    found = F.regexp_extract_all(marked, F.lit(known_pattern(known.values())), F.lit(1))
+    hits = F.transform(found, lambda s: F.regexp_replace(s, f"{MARK}+", " "))
     out = docs.select(*kept, F.coalesce(F.transform(hits, lambda s: F.element_at(id_of, s)), F.array().cast("array<string>")).alias("_ids"))
     sequence = F.array_join(F.transform("_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     matched = F.transform(F.regexp_extract_all(sequence, F.lit(f"({rule_pattern(rules)})"), F.lit(1)), lambda m: F.element_at(name_of, m))

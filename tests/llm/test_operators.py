@@ -413,3 +413,63 @@ def test_lm_attention_learns_from_tasks(odd, monkeypatch):
     monkeypatch.setattr(lm_scoring, "SHARE", 0.9)
     lm_scoring.score_texts(odd.select("doc_id", "text"), odd, train_docs=1)
     assert seen[0][0] > 100 and 0 < seen[0][1] < 1
+
+
+LICENSE_HEADERS = {
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+}
+LICENSE_HEADERS["GPL-2.0-or-later"] = LICENSE_HEADERS["GPL-3.0-or-later"].replace("software:", "software;").replace("version 3", "version 2")
+LICENSE_SENTENCES = {"GPL-3.0-or-later": 3, "GPL-2.0-or-later": 3, "MPL-2.0": 1, "Apache-2.0": 5, "MIT": 4}
+
+
+def test_licenses_as_wrapped(spark):
+    """Canonical notices, as files have them, give all their sentences and their licence."""
+    got = rows_of(licenses.scan(spark.createDataFrame(list(LICENSE_HEADERS.items()), "name string, text string")))
+    assert {r["name"]: r["licenses"] for r in got} == {n: n for n in LICENSE_HEADERS}
+    assert {r["name"]: r["n_known"] for r in got} == LICENSE_SENTENCES
+
+
+def test_every_license_rule_fires(spark):
+    """Each rule's sentences, in capitals and with a line break for every space, still give its licence."""
+    rows = [(i, n, ".\n".join(licenses.SENTENCES[x].upper().replace(" ", "\n") for x in ids) + ".") for i, (n, ids) in enumerate(licenses.RULES)]
+    got = rows_of(licenses.scan(spark.createDataFrame(rows, "i long, name string, text string")))
+    assert [r["i"] for r in got if r["licenses"] != r["name"]] == []
