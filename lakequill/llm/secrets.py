@@ -6,8 +6,11 @@ whether it could be uniformly random: chi-squared over the alphabet, runs about
 serial correlation. Fisher's method makes one p-value of the three. Random strings have uniform
 p-values; made-up words and numbers crowd near 0. For each class of lengths the histogram of
 p-values over the whole corpus gives the share of random strings (those above 1/2, doubled), and
-with it the expected share of false ones above any threshold; the lowest threshold that keeps it
-below the set rate decides. Short strings, on which the tests say little, so need more.
+with it the expected share of false ones above any threshold (each distinct string counts once,
+however often it is copied); the lowest threshold that keeps it
+below the set rate decides. Short strings, on which the tests say little, so need more. Below 1/BINS
+bins halve: a string is no secret if its p-value is so small that of all random ones together less
+than the set rate would lie there.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +41,14 @@ ENCODINGS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", re.compile(r"[A-Za-z0-9+/]+")),
 )
 BINS, LENGTHS = 64, (20, 24, 32, 40, 64, 128)  # p-value bins; least lengths of the classes
+LEAST_BIN = -60  # bin -k holds p-values below 2**-k / BINS, bin 0 those from half of 1 / BINS on
 RATE = 0.05
 
 
 def encoding(s: str) -> tuple[str, str, str] | None:
-    """Name, alphabet and body of what s could encode; None for plain words and numbers."""
+    """Name, alphabet and body of what s could encode; None for plain numbers and what has no letter."""
     body = s.rstrip("=").replace("-", "+").replace("_", "/")
-    if body.isdigit() or not re.search("[0-9]", body) or not re.search("[A-Za-z]", body):
+    if not re.search("[A-Za-z]", body):
         return None
     for name, alphabet, pattern in ENCODINGS:
         if pattern.fullmatch(body):
@@ -101,8 +106,12 @@ def length_class(n: int) -> int:
     return sum(n >= x for x in LENGTHS) - 1
 
 
-def scan_text(t: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
-    """Base spans (kind, start, end), and candidates (start, end, length class, p-value bin)."""
+def p_bin(p: float) -> int:
+    return min(BINS - 1, int(p * BINS)) if p * BINS >= 1 else max(LEAST_BIN, math.ceil(math.log2(max(p * BINS, 1e-300))))
+
+
+def scan_text(t: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, bytes]]]:
+    """Base spans (kind, start, end), and candidates (start, end, length class, p-value bin, digest of the string)."""
     base = [(0, m.start(), m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in t:
         base += [(1, m.start(), m.end()) for m in ACCESS.finditer(t) if m.end() - m.start() >= LEAST["access"]]
@@ -111,7 +120,7 @@ def scan_text(t: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
     for m in CANDIDATE.finditer(t):
         if found := encoding(m[0]):
             p = randomness(found[2], found[1])
-            more.append((m.start(), m.end(), length_class(len(found[2])) if len(found[2]) >= LENGTHS[0] else 0, min(BINS - 1, int(p * BINS))))
+            more.append((m.start(), m.end(), length_class(len(found[2])) if len(found[2]) >= LENGTHS[0] else 0, p_bin(p), sha256(m[0].encode()).digest()[:16]))
     return base, more
 
 
@@ -120,12 +129,15 @@ def thresholds(histogram: dict[tuple[int, int], int], rate: float = RATE) -> lis
     out = []
     for c in range(len(LENGTHS)):
         counts = [histogram.get((c, b), 0) for b in range(BINS)]
+        counts[0] += sum(histogram.get((c, b), 0) for b in range(LEAST_BIN, 0))
         random_each = sum(counts[BINS // 2 :]) / (BINS / 2)  # random strings spread evenly over the bins
         cut, above = BINS, 0
         for b in range(BINS - 1, -1, -1):
             above += counts[b]
             if above and max(0.0, above - random_each * (BINS - b)) <= rate * above:
                 cut = b
+        while cut <= 0 and cut > LEAST_BIN and random_each * 2.0 ** (cut - 1) >= rate:
+            cut -= 1
         out.append(cut)
     return out
 
@@ -135,23 +147,23 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", rate: f
 
     Kinds are numbers into KINDS; 3, random, is what the battery adds. Offsets are in code points,
     end exclusive. Candidates within a base span aren't added again. Null texts count as empty:
-    no spans. The histogram that reaches the driver has len(LENGTHS) * BINS rows at most.
+    no spans. The histogram that reaches the driver has len(LENGTHS) * (BINS - LEAST_BIN) rows at most.
     """
-    schema = f"{id_col} long, base array<struct<kind:int,start:int,end:int>>, more array<struct<start:int,end:int,c:int,b:int>>"
+    schema = f"{id_col} long, base array<struct<kind:int,start:int,end:int>>, more array<struct<start:int,end:int,c:int,b:int,d:binary>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-        candidate = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("c", pa.int32()), ("b", pa.int32())]))
+        candidate = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("c", pa.int32()), ("b", pa.int32()), ("d", pa.binary())]))
         for batch in batches:
             base, more = [], []
             for t in batch.column(1).to_pylist():
                 x, y = scan_text(t or "")
                 base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in x])
-                more.append([dict(zip(("start", "end", "c", "b"), s, strict=True)) for s in y])
+                more.append([dict(zip(("start", "end", "c", "b", "d"), s, strict=True)) for s in y])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(more, candidate)], [id_col, "base", "more"])
 
     found = stored(docs.select(F.col(id_col).cast("long").alias(id_col), text).mapInArrow(run, schema), "secrets")
-    bins = found.where(F.size("more") > 0).select(F.explode("more").alias("m")).groupBy("m.c", "m.b").count().collect()
+    bins = found.where(F.size("more") > 0).select(F.explode("more").alias("m")).select("m.c", "m.b", "m.d").distinct().groupBy("c", "b").count().collect()
     cuts = F.array(*[F.lit(c) for c in thresholds({(r[0], r[1]): r[2] for r in bins}, rate)])
     new = F.filter("more", lambda m: (m["b"] >= F.element_at(cuts, m["c"] + 1)) & ~F.exists("base", lambda s: (s["start"] <= m["start"]) & (s["end"] >= m["end"])))
     as_spans = F.transform(new, lambda m: F.struct(F.lit(3).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))

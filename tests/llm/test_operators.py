@@ -473,3 +473,26 @@ def test_every_license_rule_fires(spark):
     rows = [(i, n, ".\n".join(licenses.SENTENCES[x].upper().replace(" ", "\n") for x in ids) + ".") for i, (n, ids) in enumerate(licenses.RULES)]
     got = rows_of(licenses.scan(spark.createDataFrame(rows, "i long, name string, text string")))
     assert [r["i"] for r in got if r["licenses"] != r["name"]] == []
+
+
+def test_secret_thresholds_count_a_copied_string_once(spark):
+    """Thousands of copies of one key neither hide other keys nor make made-up words secrets."""
+    rng = random.Random(7)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(b64) for _ in range(48)) for _ in range(300)]
+    p = {k: secrets.randomness(k, b64) for k in keys}
+    copied = min(keys, key=lambda k: abs(p[k] - 0.3)), min(keys, key=lambda k: abs(p[k] - 0.8))
+    rows = [(i, f"key {k} end") for i, k in enumerate(keys)] + [(1000 + i, f"see {'Abc' * 9}{i:03}{'1' * 18} end") for i in range(100)]
+    spans = lambda rows: {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in rows_of(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")))}
+    alone = spans(rows)
+    for k in copied:
+        with_copies = spans(rows + [(10_000 + i, f"key {k} end") for i in range(3000)])
+        assert {i: with_copies[i] for i in alone} == alone
+
+
+def test_random_strings_of_letters_alone_are_secrets(spark):
+    rng = random.Random(9)
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(24)) for _ in range(3000)]
+    letters = [i for i, k in enumerate(keys) if k.isalpha()]
+    got = {r["doc_id"]: r["spans"] for r in rows_of(secrets.scan(spark.createDataFrame([(i, f"key {k} end") for i, k in enumerate(keys)] + [(9000, "see " + "pneumonoultramicroscopicsilicovolcanoconiosis")], "doc_id long, text string")))}
+    assert len(letters) > 10 and sum(bool(got[i]) for i in letters) > len(letters) / 2 and not got[9000]
