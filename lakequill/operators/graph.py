@@ -11,7 +11,7 @@ KINDS = ("PERSON", "ORG", "GPE", "LOC", "PRODUCT", "EVENT", "WORK_OF_ART", "LAW"
 
 def extract(chunks: DataFrame, *, id_col: str, text: str) -> DataFrame:
     """Stand-in for a model: runs of two capitalised words or more, 2 to 200 characters, as ORG; one row each."""
-    spans = F.array_distinct(F.regexp_extract_all(F.substring(text, 1, 10000), F.lit(r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+"), F.lit(0)))
+    spans = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+"), F.lit(0)))
     found = chunks.where(F.length(F.trim(text)) > 0).select(id_col, F.explode(spans).alias("name"))
     return found.where(F.length("name").between(2, 200)).withColumn("type", F.lit("ORG"))
 

@@ -359,3 +359,8 @@ def test_changes(spark, tmp_path):
     assert values(streams.changes(spark, now, state, key="k", version="v")) == [("a", "added")]
     now.write.parquet(state)
     assert streams.changes(spark, now, state, key="k", version="v").count() == 0
+
+
+def test_entities_late_in_a_long_text(spark):
+    found = graph.extract(spark.createDataFrame([(1, "met Acme Corp. " + "word " * 4000 + "then Late Name came")], "c long, t string"), id_col="c", text="t")
+    assert sorted(r["name"] for r in found.collect()) == ["Acme Corp", "Late Name"]
