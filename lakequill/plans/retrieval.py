@@ -99,8 +99,8 @@ def multisignal_rerank(t):
 
 
 def chunked(t):
-    """Documents that have a vector, as one chunk each."""
-    return t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id")).select(
+    """Documents as one chunk each; those without a vector have a null embedding and are found by their words."""
+    return t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id"), "left").select(
         F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("filename"), F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"), "embedding")
 
 

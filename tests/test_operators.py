@@ -364,3 +364,15 @@ def test_changes(spark, tmp_path):
 def test_entities_late_in_a_long_text(spark):
     found = graph.extract(spark.createDataFrame([(1, "met Acme Corp. " + "word " * 4000 + "then Late Name came")], "c long, t string"), id_col="c", text="t")
     assert sorted(r["name"] for r in found.collect()) == ["Acme Corp", "Late Name"]
+
+
+def test_documents_without_a_vector_are_found_by_their_words(spark):
+    from types import SimpleNamespace
+
+    from lakequill.plans import retrieval
+
+    docs = spark.createDataFrame([(1, "plain words"), (2, "other words"), (700, "rare inin here")], "doc_id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.6, 0.8])], "vec_id long, embedding array<float>")
+    found = retrieval.hybrid_pipeline.__wrapped__ if hasattr(retrieval.hybrid_pipeline, "__wrapped__") else retrieval.hybrid_pipeline
+    rows = found(SimpleNamespace(spark=spark, documents=docs, embeddings=vectors)).collect()
+    assert (2, 700) in {(r["query_id"], r["chunk_id"]) for r in rows}
