@@ -13,8 +13,10 @@ from lakequill.llm import bpe, common, exact_dedup, language_id, mixing, near_de
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without any letter go."""
+    """Documents whose language can be told; those without any letter go, whether any row is labelled or not."""
     prototypes = language_id.fit(docs)
+    if not prototypes:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return language_id.identify(docs, prototypes).where("lang_pred <> 'und'").select(*docs.columns)
 
 

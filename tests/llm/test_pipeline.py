@@ -105,3 +105,12 @@ def test_entry_points():
     names = entry.queries()
     assert {n.split("_")[0] for n in names if re.match(r"op\d", n)} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_unlabelled_table_keeps_texts_with_letters(spark):
+    """Without any label no prototype is learned; texts with letters stay all the same."""
+    import corpus_pipeline
+
+    rows = [(1, "some words", None, "a", 10), (2, "12 34", None, "a", 5), (3, None, None, "a", 0), (4, "", None, "a", 0), (5, "été", None, "b", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_languages(spark, docs, "").collect()) == [1, 5]
