@@ -15,4 +15,4 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
-SQL = {"op2_topk_search": topk_search.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op6_licenses": licenses.OP6_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+SQL = {"op2_topk_search": topk_search.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op6_licenses": licenses.OP6_SQL, "op8_substring_dedup": substring_dedup.OP8_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}

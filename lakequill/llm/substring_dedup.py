@@ -1,98 +1,228 @@
-"""Substring dedup by hashing lines or paragraphs.
+"""Substring dedup by hashing paragraphs, lines and runs of sentences.
 
-Every line (or paragraph) of a text is normalised (trimmed, white space runs made one space,
-lower-cased) and hashed. Of units with one digest, over all documents, the earliest ranked
-occurrence (least document id, then least offset) stays; the others are removed from their texts.
-Removed units keep the offsets that they had in the original text.
+Units of a text are its paragraphs of several lines, its lines, and from every sentence on the
+shortest run of sentences of RUN_WORDS words or more. A unit is normalised (A-Z lower-cased, white
+space runs made one space) and hashed, whatever its length. Of units with one digest, over all
+documents, the earliest ranked occurrence (least document id, then least offset) stays; the others
+are removed from their texts. Removed spans keep the offsets that they had in the original text.
+
+Runs of sentences find a passage that is set within longer lines, or that lines divide otherwise:
+all its whole sentences, if they come to RUN_WORDS words. Lines and paragraphs find the rest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 import re
+from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakequill.llm.common import stored, table
 
-LINE, PARAGRAPH = r"[^\n]+", r"[^\n]+(?:\n[^\n]+)*"
-
-
-def units(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", unit: str = LINE, min_words: int = 10) -> DataFrame:
-    """doc_id, unit_no, start and end (code points, end exclusive), n_words, digest of every unit of min_words or more."""
-    schema = "doc_id long, unit_no int, start int, end int, n_words int, digest binary"
+# Each pattern cuts the whole of a text into pieces; what follows a piece (line breaks, spaces) is part of it.
+SENTENCE, LINE, PARAGRAPH = r"[^.!?\n]+[.!?\n ]*|[.!?\n ]+", r"[^\n]+\n*|\n+", r"[^\n]+(?:\n[^\n]+)*\n*|\n+"
+RUN_WORDS = 12
+PASSAGE = 30  # words from which on a run of repeated units counts as a passage
+KINDS = ("paragraph", "line", "sentences")
+LAST = (1 << 63) - 1  # ranks documents without an id
+
+
+def pieces(text: str, pattern: str) -> list[tuple[int, int, list[bytes]]]:
+    """Start, end and normalised words of each piece that has words."""
+    found = ((m.start(), m.end(), m[0].encode("utf-8", "surrogatepass").lower().split()) for m in re.finditer(pattern, text))
+    return [x for x in found if x[2]]
+
+
+def text_units(text: str, kinds: tuple[str, ...] = KINDS, run_words: int = RUN_WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """Start, end (code points, end exclusive) and normalised text of every unit."""
+    if "paragraph" in kinds:
+        for a, b, ws in pieces(text, PARAGRAPH):
+            if "\n" in text[a:b].rstrip("\n"):
+                yield a, b, b" ".join(ws)
+    if "line" in kinds:
+        for a, b, ws in pieces(text, LINE):
+            yield a, b, b" ".join(ws)
+    if "sentences" in kinds:
+        each = pieces(text, SENTENCE)
+        every = [w for _, _, ws in each for w in ws]
+        ends = np.cumsum([len(ws) for _, _, ws in each]).tolist()
+        last, start = 0, 0
+        for i, (a, _, ws) in enumerate(each):
+            while last < len(each) and ends[last] < start + run_words:
+                last += 1
+            if last == len(each):
+                break
+            yield a, each[max(i, last)][1], b" ".join(every[start : ends[last]])
+            start += len(ws)
+
+
+def row_key(id_col: str, text: str) -> list:
+    """Rank of a row (its id; null ranks last) and 32 bits of its text's hash, which tell rows of one id apart."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_rank"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("_h")]
+
+
+def units(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", kinds: tuple[str, ...] = KINDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """h1, h2 (the digest), id (rank), at (start and text hash in one number, in order of start) and end of every unit."""
+    names = ["h1", "h2", "id", "at", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(unit).finditer
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                out: list[tuple] = []
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for no, m in enumerate(find(t or "")):
-                        words = m[0].lower().split()
-                        if len(words) >= min_words:
-                            out.append((i, no, m.start(), m.end(), len(words), sha256(" ".join(words).encode("utf-8", "surrogatepass")).digest()[:16]))
-                cols = list(zip(*out, strict=True)) or [()] * 6
-                kinds = pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "unit_no", "start", "end", "n_words", "digest"])
+            for cut in range(0, whole.num_rows, 500):
+                batch = whole.slice(cut, 500)
+                ids, starts, ends, digests = [], [], [], []
+                for i, h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for a, b, content in text_units(t or "", kinds, run_words):
+                        ids.append(i)
+                        starts.append(a << 32 | h)
+                        ends.append(b)
+                        digests.append(sha256(content).digest()[:16])
+                h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (h[:, 0], h[:, 1], ids, starts, ends)], names)
 
-    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, schema)
+    return docs.select(*row_key(id_col, text), text).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def repeats(docs: DataFrame, **options) -> DataFrame:
-    """One row per unit to remove: its place, and keep_id and keep_start, where its like stays.
+    """One row per occurrence of a unit that occurs more than once: id, start, h, end, and whether it goes.
 
-    Units of fewer than min_words words always stay. Null and empty texts have no units. Units of
-    documents without an id rank last. Rows that repeat an id and text in full rank alike: their
-    units stay or go together. An empty table gives no rows.
+    The earliest occurrence stays, and so does one that overlaps the earliest within its own text.
     """
     found = stored(units(docs, **options), "line-units")
-    last = F.lit((1 << 63) - 1)
-    place = F.struct(F.coalesce("doc_id", last).alias("i"), F.col("start").alias("s"))
-    first = found.groupBy("digest").agg(F.min(place).alias("k"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return found.join(first, "digest").where(place != F.col("k")).select(
-        "doc_id", "unit_no", "start", "end", "n_words", F.col("digest"),
-        F.when(F.col("k.i") < last, F.col("k.i")).alias("keep_id"), F.col("k.s").alias("keep_start"), "copies")
+    first = (
+        found.groupBy("h1", "h2").agg(F.min(F.struct("id", "at", "end")).alias("k"), F.max(F.struct("id", "at")).alias("m"))
+        .where((F.col("k.id") != F.col("m.id")) | (F.col("k.at") != F.col("m.at"))).select("h1", "h2", "k")
+    )
+    start, h = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
+    own = (F.col("id") == F.col("k.id")) & (h == F.col("k.at").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return found.join(first, ["h1", "h2"]).select(
+        "id", start.alias("start"), h.alias("h"), F.col("end").cast("int").alias("end"),
+        (~own | (start >= F.col("k.end"))).alias("goes"), F.when(F.col("k.id") < LAST, F.col("k.id")).alias("keep_id"),
+        F.shiftright("k.at", 32).cast("int").alias("keep_start"))
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
 
 
-def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
-    """The text without the spans, each with the line break after it."""
-    if text is None:
-        return None
-    out, at = [], 0
-    for start, end in sorted(spans):
-        out.append(text[at:start])
-        at = min(len(text), end + 1) if text[end : end + 1] == "\n" else end
-    return "".join([*out, text[at:]])
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans, which are in order and apart."""
+    edges = [0, *(x for s in spans for x in s), len(text)]
+    return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+ADDED = {"clean_text": "string", "removed_spans": "string", "n_removed": "integer", "words_removed": "integer", "longest_repeat": "integer"}
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with clean_text and removed_spans ("start:end" in original offsets, comma-joined) added.
+    """docs with these columns added, one row for each row:
+
+    clean_text, the text without its removed units; removed_spans ("start:end" in original offsets,
+    comma-joined); n_removed, their number; words_removed; and longest_repeat, the words of the
+    longest run of units that occur elsewhere too, whether they stay or go.
 
-    A document's own removed units are gathered by its id: no more than its text has.
+    Null texts stay null and, like empty ones, have no units. Rows without an id rank last, in order
+    of offset and hash. Rows that repeat an id and text in full rank alike: their units stay or go
+    together. Columns of docs with the names that are added are replaced. An empty table gives no
+    rows. A document's own spans are gathered by its row: no more than its text has.
     """
-    gone = repeats(docs, id_col=id_col, text=text, **options)
-    spans = gone.groupBy(F.col("doc_id").alias("_i")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    kept = [c for c in docs.columns if c not in ("clean_text", "removed_spans")]
-    rows = docs.select(*kept).join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_i")), "left")
-    at = kept.index(text)
-    schema = docs.select(*kept).schema.add("clean_text", "string").add("removed_spans", "string")
+    found = repeats(docs, id_col=id_col, text=text, **options)
+    spans = found.groupBy(F.col("id").alias("_id"), F.col("h").alias("_hash")).agg(F.collect_set(F.struct("start", "end", "goes")).alias("_spans"))
+    names = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(*names, *row_key(id_col, text))
+    rows = rows.join(spans, (F.col("_rank") == F.col("_id")) & (F.col("_h") == F.col("_hash")), "left").select(*names, "_spans")
+    at, schema = names.index(text), docs.select(*names).schema
+    for name, kind in ADDED.items():
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [[(x["start"], x["end"]) for x in s or []] for s in batch.column(len(kept)).to_pylist()]
-            clean = [cut(t, s) for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
-            text_spans = [",".join(f"{a}:{b}" for a, b in s) for s in spans]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(clean, pa.string()), pa.array(text_spans, pa.string())], [*kept, "clean_text", "removed_spans"])
-
-    return rows.select(*kept, "_spans").mapInArrow(run, schema)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                new: list[tuple] = []
+                for t, found in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                    every = [(s["start"], s["end"], s["goes"]) for s in found or []]
+                    gone = merged([(a, b) for a, b, goes in every if goes])
+                    n_words = lambda a, b, t=t: len(t[a:b].encode("utf-8", "surrogatepass").split())
+                    longest = max((n_words(a, b) for a, b in merged([(a, b) for a, b, _ in every])), default=0)
+                    new.append((None if t is None else cut(t, gone), ",".join(f"{a}:{b}" for a, b in gone), len(gone), sum(n_words(a, b) for a, b in gone), longest))
+                kinds = pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()
+                added = [pa.array(c, k) for c, k in zip(zip(*new, strict=True), kinds, strict=True)] if new else [pa.array([], k) for k in kinds]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], [*names, *ADDED])
+
+    return rows.mapInArrow(run, schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per removed line: document, original offsets, and the place of the line that stays."""
+    """One row per document: what was removed from its text, and whether it holds a repeated passage."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return repeats(docs).select("doc_id", "unit_no", "start", "end", "n_words", F.lower(F.hex("digest")).alias("digest"), "keep_id", "keep_start", "copies")
+    return substring_dedup(docs).select(
+        "doc_id", "removed_spans", "n_removed", "words_removed", "longest_repeat", (F.col("longest_repeat") >= PASSAGE).alias("has_passage"),
+        F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
+
+
+OP8_SQL = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+tiles AS (
+    SELECT doc_id, 'p' AS kind, unnest(regexp_extract_all(t, '{PARAGRAPH}')) AS tile, generate_subscripts(regexp_extract_all(t, '{PARAGRAPH}'), 1) AS no FROM docs
+    UNION ALL
+    SELECT doc_id, 'l', unnest(regexp_extract_all(t, '{LINE}')), generate_subscripts(regexp_extract_all(t, '{LINE}'), 1) FROM docs
+    UNION ALL
+    SELECT doc_id, 's', unnest(regexp_extract_all(t, '{SENTENCE}')), generate_subscripts(regexp_extract_all(t, '{SENTENCE}'), 1) FROM docs
+),
+placed AS (
+    SELECT doc_id, kind, no, tile, sum(length(tile)) OVER (PARTITION BY doc_id, kind ORDER BY no) AS stop,
+           regexp_extract_all(translate(tile, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+    FROM tiles
+),
+worded AS (
+    SELECT doc_id, kind, no, tile, (stop - length(tile))::INT AS start, stop::INT AS stop, ws,
+           sum(len(ws)) OVER (PARTITION BY doc_id, kind ORDER BY no)::INT AS words
+    FROM placed WHERE len(ws) > 0
+),
+texts AS (SELECT doc_id, list_sort(list({{'no': no, 'ws': ws}})) AS every FROM worded WHERE kind = 's' GROUP BY doc_id),
+flat AS (SELECT doc_id, flatten(list_transform(every, lambda x: x.ws)) AS every FROM texts),
+starts AS (SELECT doc_id, start, words - len(ws) AS before, words - len(ws) + {RUN_WORDS} AS need FROM worded WHERE kind = 's'),
+stops AS (SELECT doc_id, stop, words FROM worded WHERE kind = 's'),
+runs AS (
+    SELECT s.doc_id, s.start, e.stop, array_to_string(list_slice(f.every, s.before + 1, e.words), ' ') AS content
+    FROM starts s ASOF JOIN stops e ON s.doc_id = e.doc_id AND s.need <= e.words JOIN flat f ON f.doc_id = s.doc_id
+),
+units AS (
+    SELECT doc_id, start, stop, array_to_string(ws, ' ') AS content FROM worded
+    WHERE kind = 'l' OR (kind = 'p' AND contains(rtrim(tile, chr(10)), chr(10)))
+    UNION ALL SELECT * FROM runs
+),
+known AS (SELECT content, min(struct_pack(i := doc_id, s := start, e := stop)) AS k FROM units GROUP BY content
+          HAVING min(struct_pack(i := doc_id, s := start)) <> max(struct_pack(i := doc_id, s := start))),
+found AS (SELECT DISTINCT doc_id, start, stop, doc_id <> k.i OR start >= k.e AS goes FROM units JOIN known USING (content)),
+both_ways AS (SELECT doc_id, start, stop, 'any' AS which FROM found UNION SELECT doc_id, start, stop, 'goes' FROM found WHERE goes),
+edges AS (
+    SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY doc_id, which ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens
+    FROM both_ways
+),
+islands AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, which ORDER BY start, stop) AS no FROM edges),
+spans AS (SELECT doc_id, which, no, min(start) AS a, max(stop) AS b FROM islands GROUP BY ALL),
+counted AS (
+    SELECT doc_id, which, a, b, len(regexp_extract_all(substring(t, a + 1, b - a), '[^\x20\x09-\x0D]+')) AS n,
+           substring(t, a - (a - lag(b, 1, 0) OVER w) + 1, a - lag(b, 1, 0) OVER w) AS ahead,
+           CASE WHEN lead(a) OVER w IS NULL THEN substring(t, b + 1) ELSE '' END AS rest
+    FROM spans JOIN docs USING (doc_id) WINDOW w AS (PARTITION BY doc_id, which ORDER BY a)
+),
+gone AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_spans, count(*) AS n, sum(n) AS words, string_agg(ahead || rest, '' ORDER BY a) AS clean
+         FROM counted WHERE which = 'goes' GROUP BY doc_id),
+longest AS (SELECT doc_id, max(n) AS n FROM counted WHERE which = 'any' GROUP BY doc_id)
+SELECT doc_id, coalesce(removed_spans, '') AS removed_spans, coalesce(gone.n, 0)::INT AS n_removed, coalesce(words, 0)::INT AS words_removed,
+       coalesce(longest.n, 0)::INT AS longest_repeat, coalesce(longest.n, 0) >= {PASSAGE} AS has_passage, sha256(coalesce(clean, t)) AS clean_sha256
+FROM docs LEFT JOIN gone USING (doc_id) LEFT JOIN longest USING (doc_id)
+"""

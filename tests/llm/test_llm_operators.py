@@ -307,20 +307,79 @@ def test_randomness_is_uniform_for_random_strings():
 
 
 # substring dedup
-def test_substring_dedup(spark, none, odd, clash):
-    line = "one two three four five six seven eight nine ten"
-    rows = [(3, f"{line}\nshort\nunique to three a b c d e f g h i"), (1, f"first\n  {line.upper()}  \nend"), (2, f"{line}\n{line}"), (4, None), (5, ""), (6, "short\nshort"), (None, line)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((str(r["doc_id"]), r["start"], r["end"], r["keep_id"], r["keep_start"], r["copies"]) for r in rows_of(substring_dedup.repeats(df)))
-    n = len(line)
-    assert got == sorted([("3", 0, n, 1, 6, 5), ("2", 0, n, 1, 6, 5), ("2", n + 1, 2 * n + 1, 1, 6, 5), ("None", 0, n, 1, 6, 5)])
-    clean = {r["doc_id"]: (r["clean_text"], r["removed_spans"]) for r in rows_of(substring_dedup.substring_dedup(df))}
-    assert clean[3] == ("short\nunique to three a b c d e f g h i", f"0:{n}")
-    assert clean[2] == ("", f"0:{n},{n + 1}:{2 * n + 1}") and clean[4] == (None, "") and clean[6] == ("short\nshort", "")
-    assert clean[1][0] == rows[1][1]
-    paragraphs = substring_dedup.repeats(spark.createDataFrame([(1, f"a b c\n{line}\n\nx"), (2, f"y\n\na b c\n{line}")], "doc_id long, text string"), unit=substring_dedup.PARAGRAPH)
-    assert [(r["doc_id"], r["keep_id"]) for r in rows_of(paragraphs)] == [(2, 1)]
-    assert substring_dedup.repeats(none).count() == 0 and substring_dedup.substring_dedup(clash).count() == odd.count()
+def brute_substring(rows, run_words=12):
+    """(clean text, removed spans, longest repeat) of each row, by plain loops over whole texts."""
+    found = []  # content, (rank, start), row, start, end
+    for row, (i, t) in enumerate(rows):
+        t, rank = t or "", (i is None, i or 0)
+        norm = lambda x: " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x)))
+        spans, at = set(), 0
+        for line in re.findall(r"[^\n]+\n*|\n+", t):
+            spans.add((at, at + len(line)))
+            at += len(line)
+        at = 0
+        for block in re.split(r"(?<=\n\n)(?!\n)", t):
+            lead = len(block) - len(block.lstrip("\n"))
+            if "\n" in block.strip("\n"):
+                spans.add((at + lead, at + len(block)))
+            at += len(block)
+        ends, at = [], 0
+        for tile in re.findall(r"[^.!?\n]+[.!?\n ]*|[.!?\n ]+", t):
+            if norm(tile):
+                ends.append((at, at + len(tile)))
+            at += len(tile)
+        for k, (start, _) in enumerate(ends):
+            stop = next((e for _, e in ends[k:] if len(norm(t[start:e]).split()) >= run_words), None)
+            if stop:
+                spans.add((start, stop))
+        found += [(norm(t[x:y]), (rank, x), row, x, y) for x, y in spans if norm(t[x:y])]
+    first, several = {}, set()
+    for content, place, *_ in found:
+        if place != first.setdefault(content, place):
+            several.add(content)
+            first[content] = min(first[content], place)
+    keep_end = {(c, p): e for c, p, _, _, e in sorted(found, key=lambda x: -x[4])}
+    out = []
+    for row, (i, t) in enumerate(rows):
+        gone, every = set(), set()
+        for content, place, at, x, y in found:
+            if at == row and content in several:
+                k = first[content]
+                every |= set(range(x, y))
+                if place[0] != k[0] or x >= keep_end[content, k]:
+                    gone |= set(range(x, y))
+        runs = lambda s: [(x, next(y for y in range(x, len(t) + 1) if y not in s)) for x in sorted(s) if x - 1 not in s]
+        longest = max((len(t[x:y].encode().split()) for x, y in runs(every)), default=0)
+        out.append((i, None if t is None else "".join(c for k, c in enumerate(t) if k not in gone), ",".join(f"{x}:{y}" for x, y in runs(gone)), longest))
+    return out
+
+
+def test_substring_dedup(spark, stock, none, odd, clash):
+    rng = random.Random(12)
+    sentence = lambda n: " ".join(rng.choice(stock) for _ in range(n)).capitalize() + rng.choice(".!?")
+    passage = f"{sentence(9)} {sentence(14)}\n{sentence(5)} {sentence(23)}"
+    line = sentence(10)
+    rows = [
+        (3, f"{line}\nshort\n{sentence(20)}"), (1, f"first\n  {line.upper()}  \nend"), (2, f"{line}\n{line}"), (4, None), (5, ""), (6, "short\nshort"), (None, line),
+        (7, f"{sentence(6)} cut off {passage} and on\n{sentence(4)}"), (8, f"{sentence(3)}\n\n{sentence(30)} {passage} {sentence(8)}"), (9, passage.replace("\n", " ") + "\n\n \n"),
+        (10, "So so so. " * 40), (11, "a b\nc d\n\ne"), (12, "x y\n\na b\nc d"), (13, " \n\t\u00a0\n"),
+    ]
+    got = [(r["doc_id"], r["clean_text"], r["removed_spans"], r["longest_repeat"]) for r in rows_of(substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")))]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(got, key=key) == sorted(brute_substring(rows), key=key)
+    by = {r[0]: r for r in got}
+    assert by[7][2] == "" and by[8][3] >= 40 and passage.split("\n")[1] not in by[8][1]
+    assert by[4][1] is None and by[1][1] == rows[1][1] and by[None][1] == ""
+
+
+def test_substring_dedup_edges(spark, odd, odd_rows, none, clash):
+    assert substring_dedup.repeats(none).count() == substring_dedup.substring_dedup(none).count() == 0
+    got = substring_dedup.substring_dedup(clash)
+    assert got.count() == len(odd_rows) and set(got.columns) >= set(clash.columns)
+    same = [r["removed_spans"] for r in rows_of(got) if r["text"] == "Short one."]
+    assert len(same) == 2 and same[0] == same[1]  # rows that repeat id and text
+    two = spark.createDataFrame([(1, "One line here\nand more"), (1, "and more"), (1, "One line here\nand more")], "doc_id long, text string")
+    assert sorted(r["clean_text"] for r in rows_of(substring_dedup.substring_dedup(two))) in (["", "One line here\nand more", "One line here\nand more"], ["One line here\n", "One line here\n", "and more"])
 
 
 # LM scoring
