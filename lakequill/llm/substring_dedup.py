@@ -18,7 +18,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakequill.llm.common import stored, table
@@ -43,20 +43,23 @@ def text_units(text: str, kinds: tuple[str, ...] = KINDS, run_words: int = RUN_W
         for a, b, ws in pieces(text, PARAGRAPH):
             if "\n" in text[a:b].rstrip("\n"):
                 yield a, b, b" ".join(ws)
+    lines = set()
     if "line" in kinds:
         for a, b, ws in pieces(text, LINE):
+            lines.add((a, b))
             yield a, b, b" ".join(ws)
     if "sentences" in kinds:
         each = pieces(text, SENTENCE)
         every = [w for _, _, ws in each for w in ws]
         ends = np.cumsum([len(ws) for _, _, ws in each]).tolist()
         last, start = 0, 0
-        for i, (a, _, ws) in enumerate(each):
+        for a, _, ws in each:
             while last < len(each) and ends[last] < start + run_words:
                 last += 1
             if last == len(each):
                 break
-            yield a, each[max(i, last)][1], b" ".join(every[start : ends[last]])
+            if (a, each[last][1]) not in lines:
+                yield a, each[last][1], b" ".join(every[start : ends[last]])
             start += len(ws)
 
 
@@ -90,15 +93,25 @@ def repeats(docs: DataFrame, **options) -> DataFrame:
     """One row per occurrence of a unit that occurs more than once: id, start, h, end, and whether it goes.
 
     The earliest occurrence stays, and so does one that overlaps the earliest within its own text.
+
+    Units meet by digest in one shuffle. Those that make up a thousandth of all units or more, by an
+    estimate from a sixteenth of the documents, are a thousand at most: their earliest occurrences
+    are found by partial aggregation and broadcast, so that no task holds all of a frequent line.
+    The estimate decides the way only, never the result.
     """
     found = stored(units(docs, **options), "line-units")
-    first = (
-        found.groupBy("h1", "h2").agg(F.min(F.struct("id", "at", "end")).alias("k"), F.max(F.struct("id", "at")).alias("m"))
-        .where((F.col("k.id") != F.col("m.id")) | (F.col("k.at") != F.col("m.at"))).select("h1", "h2", "k")
-    )
+    digest = ["h1", "h2"]
+    part = found.where(F.pmod(F.xxhash64("id", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(16)) == 0)
+    often = F.count(F.lit(1)) * 1000 >= part.count()
+    frequent = F.broadcast(stored(part.groupBy(*digest).agg(often.alias("often")).where("often").select(*digest), "line-frequent"))
+    first, last = F.min(F.struct("id", "at", "end")), F.max(F.struct("id", "at"))
+    ends = found.join(frequent, digest, "left_semi").groupBy(*digest).agg(first.alias("k"), last.alias("m"))
+    group = Window.partitionBy(*digest)
+    rare = found.join(frequent, digest, "left_anti").select("*", first.over(group).alias("k"), last.over(group).alias("m"))
     start, h = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
     own = (F.col("id") == F.col("k.id")) & (h == F.col("k.at").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return found.join(first, ["h1", "h2"]).select(
+    every = found.join(F.broadcast(ends), digest).unionByName(rare)
+    return every.where((F.col("k.id") != F.col("m.id")) | (F.col("k.at") != F.col("m.at"))).select(
         "id", start.alias("start"), h.alias("h"), F.col("end").cast("int").alias("end"),
         (~own | (start >= F.col("k.end"))).alias("goes"), F.when(F.col("k.id") < LAST, F.col("k.id")).alias("keep_id"),
         F.shiftright("k.at", 32).cast("int").alias("keep_start"))
