@@ -103,14 +103,14 @@ def repeats(docs: DataFrame, **options) -> DataFrame:
     digest = ["h1", "h2"]
     part = found.where(F.pmod(F.xxhash64("id", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(16)) == 0)
     often = F.count(F.lit(1)) * 1000 >= part.count()
-    frequent = F.broadcast(stored(part.groupBy(*digest).agg(often.alias("often")).where("often").select(*digest), "line-frequent"))
+    frequent = stored(part.groupBy(*digest).agg(often.alias("often")).where("often"), "line-frequent")
     first, last = F.min(F.struct("id", "at", "end")), F.max(F.struct("id", "at"))
-    ends = found.join(frequent, digest, "left_semi").groupBy(*digest).agg(first.alias("k"), last.alias("m"))
-    group = Window.partitionBy(*digest)
-    rare = found.join(frequent, digest, "left_anti").select("*", first.over(group).alias("k"), last.over(group).alias("m"))
+    marked = found.join(F.broadcast(frequent), digest, "left")
+    ends = marked.groupBy(*[F.when(F.col("often"), F.col(c)).alias(c) for c in digest]).agg(first.alias("fk"), last.alias("fm"))
+    group = Window.partitionBy(*digest, F.when(F.col("fk").isNotNull(), F.col("at")))  # frequent units are dealt by place
+    every = found.join(F.broadcast(ends), digest, "left").select("*", F.coalesce("fk", first.over(group)).alias("k"), F.coalesce("fm", last.over(group)).alias("m"))
     start, h = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
     own = (F.col("id") == F.col("k.id")) & (h == F.col("k.at").bitwiseAND(F.lit(0xFFFFFFFF)))
-    every = found.join(F.broadcast(ends), digest).unionByName(rare)
     return every.where((F.col("k.id") != F.col("m.id")) | (F.col("k.at") != F.col("m.at"))).select(
         "id", start.alias("start"), h.alias("h"), F.col("end").cast("int").alias("end"),
         (~own | (start >= F.col("k.end"))).alias("goes"), F.when(F.col("k.id") < LAST, F.col("k.id")).alias("keep_id"),
