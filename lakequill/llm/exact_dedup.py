@@ -1,22 +1,26 @@
-"""Exact dedup: a tree merge of digest runs, in DataFrame operations alone.
+"""Exact dedup: a tree merge of sorted digest runs, in DataFrame operations alone.
 
-Level 0 turns every input partition into a run: one entry (digest, keep id, rows) per distinct
-text. Each further level lets `fan_in` neighbouring runs exchange entries and merges them into one
-run, keeping the smallest (or largest) id of a digest, so after log(runs) levels one run is left,
-spread over the cluster by digest. Only digests and ids are ever shuffled, never texts.
+Every input partition deals its rows to a run: one entry (digest, keep id, rows) per distinct text.
+In each binomial round, groups of `fan_in` runs that differ in one digit of their number exchange
+entries: an entry goes to the run that has its digest's digit there. A run then merges what it gets,
+sorted by digest, and of each digest keeps the smallest (or largest) id. After log(runs) rounds the
+number of a run is a part of its digests, so that every digest is in one run, and no run ever held
+more than its share: entries for a digest that come together are `fan_in` at most. Only digests and
+ids are shuffled, never texts.
 
 An entry is verified by carrying, besides SHA-256, an independent 64-bit hash and the length of
-the text: entries merge only when all three agree.
+the text: entries merge only when all three agree, at every level.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakequill.llm.common import table
 
 KEY = ["_sha", "_h64", "_len"]
+FAN_IN = 4
 
 
 def digests(docs: DataFrame, text: str) -> list:
@@ -24,39 +28,55 @@ def digests(docs: DataFrame, text: str) -> list:
     return [F.sha2(t.cast("binary"), 256).alias("_sha"), F.xxhash64(t).alias("_h64"), F.octet_length(t).alias("_len")]
 
 
-def merge_runs(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", keep: str = "largest", runs: int = 64, fan_in: int = 8) -> DataFrame:
-    """One row per distinct text: its digest columns, _keep (id) and _rows."""
-    pick = {"largest": F.max, "smallest": F.min}[keep]
+def merge_runs(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", keep: str = "largest", runs: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
+    """One row per distinct text: its digest columns, _keep (id) and _rows.
+
+    runs is rounded up to a power of fan_in; without it, there are as many as shuffle partitions.
+    """
+    pick, order = {"largest": (F.max, F.desc_nulls_last("_keep")), "smallest": (F.min, F.asc_nulls_last("_keep"))}[keep]
+    wanted, rounds = runs or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1
+    while fan_in**rounds < wanted:
+        rounds += 1
+    runs = fan_in**rounds
     level = (
-        docs.select(F.col(id_col).alias("_id"), *digests(docs, text), F.pmod(F.spark_partition_id(), F.lit(runs)).alias("_run"))
+        docs.select(F.col(id_col).alias("_id"), *digests(docs, text), F.pmod(F.spark_partition_id(), F.lit(runs)).cast("long").alias("_run"))
         .groupBy("_run", *KEY).agg(pick("_id").alias("_keep"), F.count(F.lit(1)).alias("_rows"))
     )
-    left = runs
-    while left > 1:
-        left = -(-left // fan_in)
+    group = Window.partitionBy("_run", *KEY)
+    for r in range(rounds):
+        digit = lambda c, place=fan_in**r: F.pmod(F.floor(c / place), F.lit(fan_in))
+        mine, wants = digit(F.col("_run")), digit(F.pmod("_h64", F.lit(runs)))
+        dealt = level.withColumn("_run", (F.col("_run") + (wants - mine) * fan_in**r).cast("long")).repartition(runs, "_run")
         level = (
-            level.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
-            .groupBy("_run", *KEY).agg(pick("_keep").alias("_keep"), F.sum("_rows").alias("_rows"))
+            dealt.sortWithinPartitions("_run", *KEY, order).select("*", F.row_number().over(group.orderBy(order)).alias("_place"), F.sum("_rows").over(group).alias("_sum"))
+            .where("_place = 1").select("_run", *KEY, "_keep", F.col("_sum").alias("_rows"))
         )
     return level.drop("_run")
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", keep: str = "largest", runs: int = 64, fan_in: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", keep: str = "largest", runs: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256 added.
 
     Null texts count as empty ones. Ids that are null are kept only where no row of the group has
     an id. Rows that repeat both id and text are one document: all are marked alike, and all count
     in group_size. Columns of docs that have these names are replaced. An empty table gives none.
+
+    Rows meet their group by digest. The groups that hold a thousandth of all rows or more, so a
+    thousand at most, are broadcast instead, and their rows spread over the join by id.
     """
     groups = merge_runs(docs, id_col=id_col, text=text, keep=keep, runs=runs, fan_in=fan_in)
+    large = groups.where(F.col("_rows") * 1000 >= docs.count()).select(*KEY, F.struct("_keep", "_rows").alias("_large"))
     names = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    rows = docs.select(*names, *digests(docs, text))
-    return rows.join(groups, KEY, "inner").select(
+    rows = docs.select(*names, *digests(docs, text)).join(F.broadcast(large), KEY, "left")
+    salt = F.when(F.col("_large").isNotNull(), F.xxhash64(F.col(id_col).cast("string"))).otherwise(F.lit(0)).alias("_salt")
+    small = groups.select(*KEY, F.lit(0).cast("long").alias("_salt"), F.struct("_keep", "_rows").alias("_small"))
+    found = F.coalesce("_large", "_small")
+    return rows.select("*", salt).join(small, [*KEY, "_salt"], "left").select(*names, F.col("_sha").alias("_digest"), found.alias("_found")).select(
         *names,
-        F.col("_keep").alias("keep_id"),
-        F.col("_rows").alias("group_size"),
-        F.col(id_col).eqNullSafe(F.col("_keep")).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
+        F.col("_found._keep").alias("keep_id"),
+        F.col("_found._rows").alias("group_size"),
+        F.col(id_col).eqNullSafe(F.col("_found._keep")).alias("kept"),
+        F.col("_digest").alias("text_sha256"),
     )
 
 
