@@ -1,9 +1,13 @@
 """Every operator against brute force, and on nulls, empty and long texts, repeats, empty tables and clashing names."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -387,7 +391,7 @@ def test_substring_dedup_edges(spark, odd, odd_rows, none, clash):
 def test_lm_counts(odd, odd_rows, heavy, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HEAVY", heavy)
     train = odd.where("doc_id IS NULL OR doc_id % 3 <> 0")
-    got = rows_of(lm_scoring.score_texts(odd.select("doc_id", "text"), train, train_docs=10))
+    got = rows_of(lm_scoring.score_texts(odd.select("doc_id", "text"), train))
     counts = Counter()
     for i, t, *_ in odd_rows:
         if i is None or i % 3:
@@ -404,74 +408,110 @@ def test_lm_counts(odd, odd_rows, heavy, monkeypatch):
 def test_lm_edges(odd, none, clash):
     assert lm_scoring.score_texts(none, none).count() == 0
     assert all(r["n_known"] == 0 and np.isfinite(r["score"]) for r in rows_of(lm_scoring.score_texts(odd, none)))
-    assert lm_scoring.score_texts(clash, odd, train_docs=5).count() == odd.count()
-
-
-def test_attention_is_causal_and_scores_each_id_once():
-    rng = np.random.default_rng(3)
-    model = lm_scoring.Attention(rng.integers(0, 50, lm_scoring.END + 1))
-    seqs = [rng.integers(0, 5000, n) for n in (1, 7, 16, 40, 100)]
-    model.fit(seqs * 5, steps=3)
-    every = model.token_logs(seqs)
-    assert len(every) == sum(map(len, seqs)) and np.isfinite(every).all() and (every < 0).all()
-    # each text is scored alike on its own: nothing leaks over its start
-    ends = np.cumsum([len(s) for s in seqs])
-    # (windows begin at other places, so only what fits one window is compared)
-    alone = model.token_logs([seqs[1]])
-    assert np.isfinite(alone).all() and len(alone) == 7
-    changed = [s.copy() for s in seqs]
-    changed[4][60:] = 3
-    upto = ends[3] + 60
-    assert np.allclose(model.token_logs(changed)[:upto], every[:upto], atol=1e-4)
-    # probabilities of all next ids add up to one
-    total = sum(np.exp(model.token_logs([np.array([5, 9, i])])[2]) for i in range(0, lm_scoring.END + 1, 997))
-    assert 0 < total < 1
-
-
-def test_attention_learns():
-    rng = np.random.default_rng(4)
-    counts = np.zeros(lm_scoring.END + 1, np.int64)
-    counts[:50] = 100
-    seqs = [np.tile(rng.integers(0, 50, 8), 20) for _ in range(40)]  # each text repeats its own cycle
-    model = lm_scoring.Attention(counts)
-    model.fit(seqs, steps=1)
-    before = model.token_logs(seqs).mean()
-    model.fit(seqs, steps=300)
-    assert model.token_logs(seqs).mean() > before + 0.1
-
-
-def test_lm_score_does_not_depend_on_what_is_broadcast(odd, monkeypatch):
-    """Rare known words keep their share of the corpus in score, whether they are broadcast or joined."""
-    scores = {}
-    for heavy in (30, 1 << 19):
-        monkeypatch.setattr(lm_scoring, "HEAVY", heavy)
-        train = odd.where("doc_id > 5").select("doc_id", "text")
-        scores[heavy] = sorted((r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in rows_of(lm_scoring.score_texts(odd.select("doc_id", "text"), train, train_docs=30)))
-    assert [x[2] for x in scores[30]] == pytest.approx([x[2] for x in scores[1 << 19]], rel=1e-6)
-
-
-def test_lm_counts_transitions_of_every_text(spark, odd, odd_rows):
-    """Class bigrams cover the whole training part, whatever train_docs; copies count as often as they come."""
-    rng = np.random.default_rng(5)
-    model = lm_scoring.Attention(rng.integers(0, 50, lm_scoring.END + 1))
-    lexicon = lm_scoring.Lexicon(lm_scoring.NO_WORDS, lm_scoring.NO_WORDS, None)
-    want = model.transitions(lm_scoring.looked_up([r[1] for r in odd_rows], lexicon))
-    assert (lm_scoring.all_transitions(odd, model, "text", None) == want).all()
-    assert want.sum() == sum(len(x) for x in lm_scoring.looked_up([r[1] for r in odd_rows], lexicon))
-
-
-def test_lm_attention_learns_from_tasks(odd, monkeypatch):
-    """Texts beyond the driver's sample move the attention weights."""
-    seen, whole = [], lm_scoring.train_in_tasks
-
-    def watched(training, model, *rest):
-        before = model.p["v"].copy()
-        seen.append((whole(training, model, *rest), np.abs(model.p["v"] - before).max()))
-
-    monkeypatch.setattr(lm_scoring, "train_in_tasks", watched)
-    monkeypatch.setattr(lm_scoring, "SHARE", 0.9)
-    lm_scoring.score_texts(odd.select("doc_id", "text"), odd, train_docs=1)
-    assert seen[0][0] > 100 and 0 < seen[0][1] < 1
+    assert lm_scoring.score_texts(clash, odd).count() == odd.count()
+
+
+@pytest.fixture(scope="module")
+def trained(odd):
+    return lm_scoring.train(odd.where("doc_id IS NULL OR doc_id > 6"), shares=(1, 1))
+
+
+def plain_score(text, model, counts):
+    """log10 of a text's probability, word by word, with plain loops over the context."""
+    a, subwords = model.a, lm_scoring.Subwords()
+    ws = [*(text or "").encode().lower().split(), b""]
+    mean = lambda name, w: np.mean([a[name][a["row"][i]].astype(float) for i in subwords.ids(w)], axis=0)
+
+    def kind(w):
+        ids = subwords.ids(w)
+        if len(ids) == 1 and a["own"][ids[0]] >= 0:
+            return a["own"][ids[0]]
+        x = np.mean([a["x"][a["row"][i]] for i in ids], axis=0)
+        return lm_scoring.OWN + np.argmin([((x - c) ** 2).sum() for c in a["centers"]])
+
+    total, inputs = 0.0, [b"", *ws[:-1]]
+    for t, w in enumerate(ws):
+        begin = max(0, (t // lm_scoring.BLOCK - 1) * lm_scoring.BLOCK)
+        keys = range(begin, t + 1)
+        e = np.array([np.exp(np.clip(mean("q", inputs[t]) @ mean("k", inputs[j]) + a["r"][t - j], -50, 50)) for j in keys])
+        h = sum(x * mean("v", inputs[j]) for x, j in zip(e / e.sum(), keys, strict=True))
+        d = np.exp(np.clip(h @ a["o"] + a["next"][a["row"][subwords.ids(inputs[t])[0]]], -50, 50))
+        k, ids = kind(w), subwords.ids(w)
+        total += np.log(d[k] / d.sum())
+        if counts[w]:
+            total += a["known"][k] + np.log(counts[w])
+        else:
+            total += a["escape"][k] + a["spell"][k, 0, ids[0]] + sum(a["spell"][k, 1, i] for i in ids[1:]) + a["spell"][k, 1, lm_scoring.END]
+    return total / np.log(10)
+
+
+@pytest.mark.parametrize("heavy", [1 << 19, 30])
+def test_lm_score_against_plain_loops(odd, odd_rows, trained, heavy, monkeypatch):
+    """Whether words are broadcast or joined, and whatever texts are scored with."""
+    monkeypatch.setattr(lm_scoring, "HEAVY", heavy)
+    model, vocabulary = trained
+    counts = Counter({bytes(r["word"]): r["c"] for r in rows_of(vocabulary)})
+    want = sorted(round(plain_score(t, model, counts), 2) for _, t, *_ in odd_rows if len(t or "") < 10_000)
+    got = rows_of(lm_scoring.score_texts(odd, odd, trained=trained))
+    assert sorted(round(r["score"], 2) for r in got if r["n_tokens"] < 2000) == pytest.approx(want, abs=0.02)
+
+
+def test_lm_scores_rows_alike_in_any_batch(odd, trained):
+    one = {(r["doc_id"], r["n_tokens"]): r["score"] for r in rows_of(lm_scoring.score_texts(odd.coalesce(1), odd, trained=trained))}
+    many = rows_of(lm_scoring.score_texts(odd.repartition(13), odd, trained=trained))
+    assert all(one[r["doc_id"], r["n_tokens"]] == pytest.approx(r["score"], rel=1e-5) for r in many)
+
+
+def test_lm_is_causal_and_adds_up_to_one_at_most(odd, trained):
+    model, vocabulary = trained
+    lexicon = lm_scoring.Lexicon(None, kinds=model.a)
+    text = " ".join(r["text"] for r in rows_of(odd.where("doc_id >= 100 AND doc_id < 104")))
+    ws = text.split()
+    whole = model.class_logs(model.layout(lexicon.sequences([text]), lexicon))
+    part = model.class_logs(model.layout(lexicon.sequences([" ".join([*ws[:60], "other", "end."])]), lexicon))
+    assert len(whole) == len(ws) + 1 and np.allclose(whole[:60], part[:60], atol=1e-5)
+    known = rows_of(vocabulary)
+    kind = lexicon.kind[lexicon.look_up([bytes(r["word"]) for r in known])]
+    share = np.bincount(kind, np.exp(model.a["known"])[kind] * [r["c"] for r in known], lm_scoring.CLASSES)
+    assert (share + np.exp(model.a["escape"]) < 1 + 1e-9).all() and share.sum() > 1
+    assert np.allclose(np.exp(model.a["spell"].astype(float)).sum(axis=2), 1, atol=1e-3)
+
+
+def test_lm_attention_learns_from_context(spark):
+    """Texts of two vocabularies with one word order: what came before tells the vocabulary, also where the last word doesn't."""
+    rng = random.Random(4)
+    stocks = [["".join(rng.choice(letters) for _ in range(3)) for _ in range(30)] for letters in ("bdfk", "vwyz")]
+    text = lambda: " ".join(w for _ in range(60) for w in (rng.choice(stock), "and", "and")) if (stock := rng.choice(stocks)) else ""
+    docs = spark.createDataFrame([(i, text()) for i in range(120)], "doc_id long, text string")
+    sums = [sum(r["score"] for r in rows_of(lm_scoring.score_texts(docs, docs, shares=(share,) * 4, rates=(0.05,) * 4))) for share in (0.0, 1.0)]
+    assert sums[1] > sums[0] * 0.95
+
+
+def test_lm_counts_every_text(odd, odd_rows):
+    row, column = np.arange(lm_scoring.END + 1) % 50, np.arange(lm_scoring.END + 1) % lm_scoring.FEATURES
+    got, subwords, want = lm_scoring.followed(odd, row, "text", None, column=column), lm_scoring.Subwords(), Counter()
+    for _, t, *_ in odd_rows:
+        ws = [b"", *(t or "").encode().lower().split(), b""]
+        for x, y in zip(ws, ws[1:]):
+            want.update((row[i], column[subwords.ids(y)[0]]) for i in subwords.ids(x))
+    assert {(i, j): got[i, j] for i, j in zip(*np.nonzero(got), strict=True)} == want
+
+
+def test_lm_runs_where_workers_have_no_package(tmp_path):
+    """Functions and models travel by value: only the driver can import the package."""
+    code = """
+import sys
+sys.path.insert(0, REPO)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from lakequill.llm import lm_scoring, substring_dedup
+df = spark.createDataFrame([(i, f"word{i} and more of it") for i in range(9)], "doc_id long, text string")
+print("ROWS", lm_scoring.score_texts(df, df).count(), substring_dedup.substring_dedup(df).count())
+""".replace("REPO", repr(str(Path(__file__).parents[2])))
+    (tmp_path / "job.py").write_text(code)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "job.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "ROWS 9 9" in out.stdout, out.stderr[-2000:]
 
 
 LICENSE_HEADERS = {
