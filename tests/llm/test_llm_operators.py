@@ -413,17 +413,25 @@ def test_lm_edges(odd, none, clash):
 
 @pytest.fixture(scope="module")
 def trained(odd):
-    return lm_scoring.train(odd.where("doc_id IS NULL OR doc_id > 6"), shares=(1, 1))
+    return lm_scoring.train(lm_scoring.tokenised(odd.where("doc_id IS NULL OR doc_id > 6")), shares=(1, 1))
+
+
+def encoded(word):
+    """Subword ids of a word, by the vocabulary's own encoder."""
+    return [int(i) for i in np.frombuffer(SUBWORDS.text_ids(word.decode()), "<u2")] if word else [lm_scoring.END]
+
+
+SUBWORDS = lm_scoring.Subwords()
 
 
 def plain_score(text, model, counts):
     """log10 of a text's probability, word by word, with plain loops over the context."""
-    a, subwords = model.a, lm_scoring.Subwords()
+    a = model.a
     ws = [*(text or "").encode().lower().split(), b""]
-    mean = lambda name, w: np.mean([a[name][a["row"][i]].astype(float) for i in subwords.ids(w)], axis=0)
+    mean = lambda name, w: np.mean([a[name][a["row"][i]].astype(float) for i in encoded(w)], axis=0)
 
     def kind(w):
-        ids = subwords.ids(w)
+        ids = encoded(w)
         if len(ids) == 1 and a["own"][ids[0]] >= 0:
             return a["own"][ids[0]]
         x = np.mean([a["x"][a["row"][i]] for i in ids], axis=0)
@@ -435,8 +443,8 @@ def plain_score(text, model, counts):
         keys = range(begin, t + 1)
         e = np.array([np.exp(np.clip(mean("q", inputs[t]) @ mean("k", inputs[j]) + a["r"][t - j], -50, 50)) for j in keys])
         h = sum(x * mean("v", inputs[j]) for x, j in zip(e / e.sum(), keys, strict=True))
-        d = np.exp(np.clip(h @ a["o"] + a["next"][a["row"][subwords.ids(inputs[t])[0]]], -50, 50))
-        k, ids = kind(w), subwords.ids(w)
+        d = np.exp(np.clip(h @ a["o"] + a["next"][a["row"][encoded(inputs[t])[0]]], -50, 50))
+        k, ids = kind(w), encoded(w)
         total += np.log(d[k] / d.sum())
         if counts[w]:
             total += a["known"][k] + np.log(counts[w])
@@ -450,28 +458,29 @@ def test_lm_score_against_plain_loops(odd, odd_rows, trained, heavy, monkeypatch
     """Whether words are broadcast or joined, and whatever texts are scored with."""
     monkeypatch.setattr(lm_scoring, "HEAVY", heavy)
     model, vocabulary = trained
-    counts = Counter({bytes(r["word"]): r["c"] for r in rows_of(vocabulary)})
+    by_ids = {bytes(r["ids"]): r["c"] for r in rows_of(vocabulary)}
+    counts = Counter({w: by_ids.get(np.array(encoded(w), "<u2").tobytes(), 0) for _, t, *_ in odd_rows for w in [*(t or "").encode().lower().split(), b""]})
     want = sorted(round(plain_score(t, model, counts), 2) for _, t, *_ in odd_rows if len(t or "") < 10_000)
-    got = rows_of(lm_scoring.score_texts(odd, odd, trained=trained))
+    got = rows_of(lm_scoring.scored(lm_scoring.tokenised(odd), *trained))
     assert sorted(round(r["score"], 2) for r in got if r["n_tokens"] < 2000) == pytest.approx(want, abs=0.02)
 
 
 def test_lm_scores_rows_alike_in_any_batch(odd, trained):
-    one = {(r["doc_id"], r["n_tokens"]): r["score"] for r in rows_of(lm_scoring.score_texts(odd.coalesce(1), odd, trained=trained))}
-    many = rows_of(lm_scoring.score_texts(odd.repartition(13), odd, trained=trained))
+    one = {(r["doc_id"], r["n_tokens"]): r["score"] for r in rows_of(lm_scoring.scored(lm_scoring.tokenised(odd.coalesce(1)), *trained))}
+    many = rows_of(lm_scoring.scored(lm_scoring.tokenised(odd.repartition(13)), *trained))
     assert all(one[r["doc_id"], r["n_tokens"]] == pytest.approx(r["score"], rel=1e-5) for r in many)
 
 
 def test_lm_is_causal_and_adds_up_to_one_at_most(odd, trained):
     model, vocabulary = trained
-    lexicon = lm_scoring.Lexicon(None, kinds=model.a)
+    logs = lambda t: model.class_logs(model.layout(lm_scoring.Words([SUBWORDS.text_ids(t)], SUBWORDS.opens)))
     text = " ".join(r["text"] for r in rows_of(odd.where("doc_id >= 100 AND doc_id < 104")))
     ws = text.split()
-    whole = model.class_logs(model.layout(lexicon.sequences([text]), lexicon))
-    part = model.class_logs(model.layout(lexicon.sequences([" ".join([*ws[:60], "other", "end."])]), lexicon))
+    whole, part = logs(text), logs(" ".join([*ws[:60], "other", "end."]))
     assert len(whole) == len(ws) + 1 and np.allclose(whole[:60], part[:60], atol=1e-5)
     known = rows_of(vocabulary)
-    kind = lexicon.kind[lexicon.look_up([bytes(r["word"]) for r in known])]
+    ids, sizes = [np.frombuffer(bytes(r["ids"]), "<u2").astype(int) for r in known], np.array([len(r["ids"]) // 2 for r in known])
+    kind = lm_scoring.kinds_of(model.a, np.concatenate(ids), np.cumsum(sizes) - sizes, sizes)
     share = np.bincount(kind, np.exp(model.a["known"])[kind] * [r["c"] for r in known], lm_scoring.CLASSES)
     assert (share + np.exp(model.a["escape"]) < 1 + 1e-9).all() and share.sum() > 1
     assert np.allclose(np.exp(model.a["spell"].astype(float)).sum(axis=2), 1, atol=1e-3)
@@ -489,14 +498,25 @@ def test_lm_attention_learns_from_context(spark):
 
 def test_lm_counts_every_text(odd, odd_rows):
     row, column = np.arange(lm_scoring.END + 1) % 50, np.arange(lm_scoring.END + 1) % lm_scoring.FEATURES
-    got, subwords, want = lm_scoring.followed(odd, row, "text", None, column=column), lm_scoring.Subwords(), Counter()
+    got, want = lm_scoring.followed(lm_scoring.tokenised(odd), row, None, column=column), Counter()
     for _, t, *_ in odd_rows:
         ws = [b"", *(t or "").encode().lower().split(), b""]
         for x, y in zip(ws, ws[1:]):
-            want.update((row[i], column[subwords.ids(y)[0]]) for i in subwords.ids(x))
+            want.update((row[i], column[encoded(y)[0]]) for i in encoded(x))
     assert {(i, j): got[i, j] for i, j in zip(*np.nonzero(got), strict=True)} == want
 
 
+def test_lm_words_of_texts():
+    """Ids alone tell words apart, whatever signs they have; hashes tell the words."""
+    texts = ["a b\nab  c", "", "caf\u00e9 \u00a0x \u3000 y\u2003z \U0001f600 's 1,000", "a\tb ab ba"]
+    w = lm_scoring.Words([SUBWORDS.text_ids(t) for t in texts], SUBWORDS.opens)
+    want = [[*t.encode().split(), b""] for t in texts]
+    assert w.n.tolist() == [len(x) for x in want]
+    flat = [x for ws in want for x in ws]
+    got = [w.ids[w.starts[k] : w.starts[k] + w.sizes[k]].tolist() for k in w.targets]
+    assert got == [encoded(x) for x in flat] and len(set(w.hash.tolist())) == len(set(flat))
+
+
 def test_lm_runs_where_workers_have_no_package(tmp_path):
     """Functions and models travel by value: only the driver can import the package."""
     code = """
