@@ -42,6 +42,22 @@ def crc_rem(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def by_group(rows: DataFrame, groups: DataFrame, key: list[str], spread: str, total: int) -> DataFrame:
+    """rows with _found, a struct of the other columns of groups, which has one row per key; null without a match.
+
+    groups.n is a number that adds up to total at most. The groups with a thousandth of it or more, so
+    a thousand at most, are broadcast, and their rows are dealt over the join by spread, as are rows
+    without a key: no task gets all rows of a large group.
+    """
+    value = F.struct(*[c for c in groups.columns if c not in key])
+    large = groups.where(F.col("n") * 1000 >= total).select(*key, value.alias("_large"))
+    marked = rows.join(F.broadcast(large), key, "left")
+    apart = F.col("_large").isNotNull() | F.col(key[0]).isNull()
+    salted = marked.select("*", F.when(apart, F.xxhash64(F.col(spread).cast("string"))).otherwise(F.lit(0)).alias("_salt"))
+    small = groups.select(*key, F.lit(0).cast("long").alias("_salt"), value.alias("_small"))
+    return salted.join(small, [*key, "_salt"], "left").withColumn("_found", F.coalesce("_large", "_small")).drop("_large", "_small", "_salt")
+
+
 def discard(df: DataFrame) -> None:
     """Delete what stored() wrote for df; nothing may read it any more."""
     for path in df.inputFiles()[:1]:

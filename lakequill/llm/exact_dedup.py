@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import table
+from lakequill.llm.common import by_group, table
 
 KEY = ["_sha", "_h64", "_len"]
 FAN_IN = 4
@@ -65,18 +65,16 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     thousand at most, are broadcast instead, and their rows spread over the join by id.
     """
     groups = merge_runs(docs, id_col=id_col, text=text, keep=keep, runs=runs, fan_in=fan_in)
-    large = groups.where(F.col("_rows") * 1000 >= docs.count()).select(*KEY, F.struct("_keep", "_rows").alias("_large"))
     names = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    rows = docs.select(*names, *digests(docs, text)).join(F.broadcast(large), KEY, "left")
-    salt = F.when(F.col("_large").isNotNull(), F.xxhash64(F.col(id_col).cast("string"))).otherwise(F.lit(0)).alias("_salt")
-    small = groups.select(*KEY, F.lit(0).cast("long").alias("_salt"), F.struct("_keep", "_rows").alias("_small"))
-    found = F.coalesce("_large", "_small")
-    return rows.select("*", salt).join(small, [*KEY, "_salt"], "left").select(*names, F.col("_sha").alias("_digest"), found.alias("_found")).select(
+    rows = docs.select(F.struct(*names).alias("_row"), F.col(id_col).alias("_id"), *digests(docs, text))
+    found = by_group(rows, groups.withColumnRenamed("_rows", "n"), KEY, "_id", docs.count())
+    names = [F.col("_row").getField(c).alias(c) for c in names]
+    return found.select(
         *names,
         F.col("_found._keep").alias("keep_id"),
-        F.col("_found._rows").alias("group_size"),
-        F.col(id_col).eqNullSafe(F.col("_found._keep")).alias("kept"),
-        F.col("_digest").alias("text_sha256"),
+        F.col("_found.n").alias("group_size"),
+        F.col("_id").eqNullSafe(F.col("_found._keep")).alias("kept"),
+        F.col("_sha").alias("text_sha256"),
     )
 
 

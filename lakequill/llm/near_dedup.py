@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import discard, stored, table
+from lakequill.llm.common import by_group, discard, stored, table
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 SAMPLES, WORDS = BANDS * ROWS, 8  # MinHash samples; 64-bit words of a sketch
@@ -254,6 +254,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     discard(members)
     discard(one)
     labels = stored(buckets.select("sid", F.col("sid").alias("comp")).distinct(), "near-all-labels")
+    places = buckets.count()
 
     limit = sketch_limit(percent / 100)
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"r.{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"r.{SKETCH[0]}"))))
@@ -276,8 +277,8 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     for k in range(rounds):  # after the first, only where groups are large
         open_ = (buckets.where("large") if k else buckets).join(labels, "sid")
         drawn = F.struct(F.xxhash64(F.lit(k), "sid").alias("o"), "sid", "comp", "n", *SKETCH)
-        mark = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(drawn).alias("r")).where("lo <> hi").select("key", "r")
-        met = open_.join(mark, "key").where(alike).select("sid", "comp", F.col("r.sid").alias("other"), F.col("r.comp").alias("to"), apart.alias("d"))
+        mark = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(drawn).alias("r"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "r", "n")
+        met = by_group(open_.select("key", "sid", "comp", "n", *SKETCH), mark, ["key"], "sid", places).select("*", "_found.r").where("r is not null").where(alike).select("sid", "comp", F.col("r.sid").alias("other"), F.col("r.comp").alias("to"), apart.alias("d"))
         best = met.groupBy(*(("comp", "to") if k else ("sid",))).agg(F.min(F.struct("d", "sid", "other")).alias("p"))
         pairs = stored(best.select(F.col("p.sid").alias("a"), F.col("p.other").alias("b")), "near-pairs")
         if not joined(confirmed(pairs, sets, percent, grows=not k)) and k:
@@ -311,11 +312,15 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", s
     treated alike. An empty table gives no rows.
     """
     signed, labels = near_components(docs, id_col=id_col, text=text, size=size, percent=percent)
-    rows = signed.select("id", "n", "sid").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
-    return rows.join(least, "comp", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"),
+    classes = signed.where("sid is not null").groupBy("sid").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("rows"))
+    labelled = classes.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    total = signed.count()  # no less than there are classes
+    comps = labelled.groupBy("comp").agg(F.min("lo").alias("least"), F.count(F.lit(1)).alias("n"))
+    least = by_group(labelled, comps, ["comp"], "sid", total).select("sid", F.col("_found.least").alias("least"), F.col("rows").alias("n"))
+    rows = signed.select("id", F.col("n").alias("_size"), "sid")
+    return by_group(rows, least, ["sid"], "id", total).select(
+        F.col("id").alias(id_col), F.col("_size").alias("n_shingles"),
+        F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("_found.least")).alias("component_id"),
     ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
@@ -325,9 +330,9 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     Rows that repeat both id and text are one document.
     """
     signed, labels = near_components(docs, id_col=id_col, text=text, **options)
-    rows = signed.select("id", "h", "sid").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    first = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("x")).select("x.id", "x.h")
-    stay = first.union(rows.where("comp is null").select("id", "h")).select(F.col("id").alias("_stay_id"), F.col("h").alias("_stay_h"))
+    classes = signed.where("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("x"))
+    first = classes.join(labels, "sid", "left").groupBy(F.coalesce("comp", "sid")).agg(F.min("x").alias("x")).select("x.id", "x.h")
+    stay = first.union(signed.where("sid is null").select("id", "h")).select(F.col("id").alias("_stay_id"), F.col("h").alias("_stay_h"))
     return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_stay_id")) & (F.xxhash64(text) == F.col("_stay_h")), "left_semi")
 
 
