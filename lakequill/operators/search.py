@@ -100,8 +100,11 @@ def lexical_search(docs: DataFrame, query: str, *, k: int = DEFAULT.top_k, id_co
 def blend(semantic: DataFrame, lexical: DataFrame, key: list[str], *, weight: float = DEFAULT.semantic_weight, by: list[str] | None = None) -> DataFrame:
     """Full outer join of both arms; without any lexical hit (of the query) the semantic score stands alone."""
     both = semantic.join(lexical, key, "full_outer").fillna(0.0, ["semantic_score", "lexical_score"])
-    hits = F.max("lexical_hit").over(Window.partitionBy(*(by or [F.lit(0)])))
-    both = both.withColumn("lexical_hit", (F.col("lexical_score") > 0).cast("int")).withColumn("_any", hits)
+    both = both.withColumn("lexical_hit", (F.col("lexical_score") > 0).cast("int"))
+    if by:
+        both = both.withColumn("_any", F.max("lexical_hit").over(Window.partitionBy(*by)))
+    else:  # one row, joined by a constant of its own side
+        both = both.withColumn("_one", F.lit(1)).join(F.broadcast(lexical.agg(F.max((F.col("lexical_score") > 0).cast("int")).alias("_any")).withColumn("_one", F.lit(1))), "_one").drop("_one")
     mixed = F.lit(weight) * F.col("semantic_score") + F.lit(round(1 - weight, 10)) * F.col("lexical_score")
     return both.withColumn("combined_score", F.round(F.when(F.col("_any") > 0, mixed).otherwise(F.col("semantic_score")), V.EXACT)).drop("_any", "lexical_hit")
 

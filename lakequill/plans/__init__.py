@@ -1,6 +1,6 @@
 """All named queries."""
 
-from lakequill.plans import relational, retrieval
+from lakequill.plans import relational, retrieval, rows
 from lakequill.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "relational", "retrieval"]
+__all__ = ["QUERIES", "SQL", "relational", "retrieval", "rows"]
