@@ -172,9 +172,9 @@ def last_owner_guard(t):
     return tables.sole_owners(t.orders, group="o_custkey", user="o_orderkey", role="o_orderstatus", owner="O")
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def backfill_members(t):
-    return tables.backfill(t.customer.select("c_custkey", "c_nationkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return tables.backfill(t.customer.select("c_custkey", "c_nationkey"), t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT doc_id, source, source = 'src1' AS retired FROM documents")

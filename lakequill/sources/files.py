@@ -21,7 +21,6 @@ TYPES = {
 # The bytes that files of a kind have at an offset.
 MAGIC = {".pdf": (0, b"%PDF"), ".png": (0, b"\x89PNG"), ".jpg": (0, b"\xff\xd8\xff"), ".jpeg": (0, b"\xff\xd8\xff"), ".gif": (0, b"GIF8"), ".webp": (8, b"WEBP")}
 OFFICE = {".docx": "word/", ".pptx": "ppt/", ".xlsx": "xl/"}
-MOST_BYTES = 50 << 20
 LEAST_TEXT = 10
 
 
@@ -34,10 +33,10 @@ def doc_type(path: Column) -> Column:
     return F.coalesce(F.try_element_at(known, extension(path)), F.lit("UNKNOWN"))
 
 
-def read_files(spark: SparkSession, path: str, *, pattern: str = "*") -> DataFrame:
-    """path, name, ext, doc_type, modified, length, content, content_hash of files up to MOST_BYTES, folders included."""
+def read_files(spark: SparkSession, path: str, *, pattern: str = "*", most_bytes: int | None = None) -> DataFrame:
+    """path, name, ext, doc_type, modified, length, content, content_hash of files, folders included; with most_bytes, of those no longer than that."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return raw.where(F.col("length") <= MOST_BYTES).select(
+    return raw.where(F.lit(True) if most_bytes is None else F.col("length") <= most_bytes).select(
         "path", F.element_at(F.split("path", "/"), -1).alias("name"), extension(F.col("path")).alias("ext"), doc_type(F.col("path")).alias("doc_type"),
         F.col("modificationTime").alias("modified"), "length", "content", F.sha2("content", 256).alias("content_hash"))
 
@@ -169,32 +168,39 @@ def load_documents(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, files.select(*kept).schema.add("text", "string").add("error", "string"))
 
 
+def heading(line: str) -> str | None:
+    """What a line says as a heading: it ends in a colon, or is two words or more in title or upper case; else None."""
+    if not 3 <= len(line) < 100 or re.match(r"\d+\.", line):
+        return None
+    cased = (line.istitle() or line.isupper()) and len(line.split()) > 1
+    return line.rstrip(":") if line[-1] == ":" else line if cased else None
+
+
 def section_title(text: str | None) -> str | None:
-    """The first of a page's first five lines that looks like a heading."""
-    for line in (text or "").strip().split("\n")[:5]:
-        s = line.strip()
-        if 3 <= len(s) < 100 and not re.match(r"\d+\.", s):
-            if s.endswith(":"):
-                return s.rstrip(":")
-            if len(s.split()) >= 2 and (s.istitle() or s.isupper()):
-                return s
-    return None
+    """The first heading among a page's first five lines."""
+    opening = (text or "").strip().split("\n", 5)[:5]
+    return next((title for title in (heading(x.strip()) for x in opening) if title is not None), None)
+
+
+# Levels, in the order in which they are looked for.
+LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
+LOG_FIELDS = ("timestamp", "logger", "level", "place", "message")
+LOG_LINE = "^" + " - ".join([r"(\d{4}(?:(?! - ).)*)", *[r"((?:(?! - ).)*)"] * 3, "(.*)"]) + "$"
 
 
 def log_records(lines: DataFrame, line: str = "value") -> DataFrame:
-    """timestamp, level, logger, message, parsed and raw of log lines, JSON or text."""
-    raw = F.col(line)
-    j = F.from_json(raw, "timestamp string, level string, logger string, message string")
-    is_json = F.trim(raw).startswith("{") & F.get_json_object(raw, "$").isNotNull()
-    plain = F.regexp_replace(raw, "\x1b\\[[0-9;]*m", "")
-    level = F.regexp_extract(plain, r" - (DEBUG|INFO|WARNING|ERROR|CRITICAL) - ", 1)
-    parts = F.split(plain, " - ", 5)
-    shaped = (F.size(parts) == 5) & plain.rlike(r"^\d{4}") & (F.get(parts, F.lit(2)) == level)
-    pick = lambda k, i, other: F.when(is_json, j[k]).when(shaped, F.get(parts, F.lit(i))).otherwise(other)
-    null = F.lit(None).cast("string")
-    return lines.where(F.trim(raw) != "").select(
-        pick("timestamp", 0, null).alias("timestamp"), F.when(is_json, j["level"]).otherwise(F.nullif(level, F.lit(""))).alias("level"),
-        pick("logger", 1, null).alias("logger"), pick("message", 4, plain).alias("message"), is_json.alias("parsed"), raw.alias("raw"))
+    """timestamp, level, logger, message, parsed and raw of log lines, JSON or text; blank lines go.
+
+    A text line of another shape than LOG_LINE is its own message.
+    """
+    record = F.when(F.trim(line).startswith("{"), F.from_json(line, "map<string,string>"))
+    rows = lines.where(F.trim(line) != "").select(F.col(line).alias("raw"), record.alias("json"), F.regexp_replace(line, "\x1b\\[[0-9;]*m", "").alias("text"))
+    named = F.coalesce(*[F.when(F.col("text").contains(f" - {x} - "), F.lit(x)) for x in LEVELS])
+    rows = rows.withColumn("named", named).withColumn("fits", F.regexp_extract("text", LOG_LINE, LOG_FIELDS.index("level") + 1).eqNullSafe(F.col("named")))
+    of_text = {f: F.when(F.col("fits"), F.regexp_extract("text", LOG_LINE, k)) for k, f in enumerate(LOG_FIELDS, 1)}
+    of_text |= {"level": F.col("named"), "message": F.coalesce(of_text["message"], "text")}
+    field = lambda f: F.when(F.col("json").isNotNull(), F.col("json")[f]).otherwise(of_text[f]).alias(f)
+    return rows.select(*map(field, ("timestamp", "level", "logger", "message")), F.col("json").isNotNull().alias("parsed"), "raw")
 
 
 def safe_url(url: Column) -> Column:

@@ -376,3 +376,25 @@ def test_documents_without_a_vector_are_found_by_their_words(spark):
     found = retrieval.hybrid_pipeline.__wrapped__ if hasattr(retrieval.hybrid_pipeline, "__wrapped__") else retrieval.hybrid_pipeline
     rows = found(SimpleNamespace(spark=spark, documents=docs, embeddings=vectors)).collect()
     assert (2, 700) in {(r["query_id"], r["chunk_id"]) for r in rows}
+
+
+def test_log_shapes(spark):
+    lines = ["2026 - a - INFO - f:1 - x - DEBUG - y", "no - a - INFO - f:1 - x", '{"level": "INFO", "n": 1}', "{broken", "\x1b[31m2026 - a - ERROR - f - m\x1b[0m"]
+    got = values(files.log_records(spark.createDataFrame([(x,) for x in lines], "value string")), "timestamp", "level", "logger", "message", "parsed")
+    assert got == sorted([
+        (None, "DEBUG", None, "2026 - a - INFO - f:1 - x - DEBUG - y", False), (None, "INFO", None, "no - a - INFO - f:1 - x", False), (None, "INFO", None, None, True),
+        (None, None, None, "{broken", False), ("2026", "ERROR", "a", "m", False)], key=str)
+
+
+def test_row_rules(spark):
+    from lakequill.operators import rows
+
+    docs = spark.createDataFrame([(1, True, None), (1, False, None), (2, True, "2026"), (3, None, None), (4, False, None)], "ws long, local_only boolean, deleted_at string")
+    assert values(rows.local_only(docs, "ws"), "ws", "guarded") == [(1, True), (2, False), (3, True), (4, False)]
+    found = spark.createDataFrame([("c1", "a"), ("c1", "b"), ("c2", "b"), ("c3", "b"), ("c4", None)], "c string, filename string")
+    lists = spark.createDataFrame([("c1", '["a"]'), ("c2", "[]"), ("c4", '["a"]')], "c string, document_ids string")
+    assert values(rows.filtered_by_conversation(found, lists, "c"), "c", "filename") == [("c1", "a"), ("c2", "b"), ("c3", "b")]
+    numbers = spark.createDataFrame([(x,) for x in [5, 1, 4, 2, None]], "v long").selectExpr("'g' AS g", "v")
+    assert values(rows.nearest_rank(numbers, ["g"], "v", (1, 50, 95)), "p1", "p50", "p95") == [(1, 2, 5)]
+    old, new = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k long, x string, y long"), spark.createDataFrame([(2, None, 9), (3, "c", 3)], "k long, x string, y long")
+    assert values(rows.upsert(old, new, ["k"]), "k", "x", "y") == [(1, "a", 1), (2, "b", 9), (3, "c", 3)]
