@@ -42,6 +42,13 @@ def crc_rem(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def crc_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    byte = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {byte}), 4294967295)"
+
+
 def by_group(rows: DataFrame, groups: DataFrame, key: list[str], spread: str, total: int) -> DataFrame:
     """rows with _found, a struct of the other columns of groups, which has one row per key; null without a match.
 
