@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,14 @@ def crc_rem(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def once(key, make):
+    """make(), or what it gave before in this worker process: modules travel by value, so their globals start anew in each task."""
+    kept = sys.modules.setdefault("_lakequill_worker", types.ModuleType("_lakequill_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def crc_sql(text: str) -> str:
     """DuckDB SQL for the unsigned crc32 of an ASCII text, bit by bit."""
     codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
