@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakequill.functions import vectors as V
-from lakequill.operators import search
+from lakequill.operators import search, similarity
+from lakequill.operators.vector_index import has_angle
 from lakequill.params import DEFAULT
 
 
@@ -16,11 +16,22 @@ def recall(memories: DataFrame, query: Column, *, scopes: list | None = None, sc
     return search.vector_search(memories, query, k=k, floor=floor, id_col=id_col, where=where)
 
 
-def new_only(incoming: DataFrame, known: DataFrame, *, id_col: str = "id", vector: str = "embedding", scope: str = "workspace_id", floor: float = DEFAULT.memory_duplicate) -> DataFrame:
-    """Incoming memories that no known one of their scope nearly equals."""
-    near = incoming.select(F.col(id_col), F.col(scope), F.col(vector).alias("x")).join(known.select(F.col(scope).alias("_s"), F.col(vector).alias("y")), F.col(scope).eqNullSafe(F.col("_s")))
-    near = near.where(V.cosine(F.col("x"), F.col("y")) >= floor).select(id_col).distinct()
-    return incoming.join(near, id_col, "left_anti")
+def new_only(incoming: DataFrame, known: DataFrame, *, vector: str = "embedding", scope: str = "workspace_id", floor: float = DEFAULT.memory_duplicate, order: str | None = None) -> DataFrame:
+    """Incoming memories that no known one of their scope nearly equals.
+
+    With order, they come in that order, and one that nearly equals an incoming one that stayed goes
+    too; of equal vectors the first stays (ties: any one). Memories without a vector stay.
+    """
+    marks = [f"_is{k}" for k in range(3)]
+    key = lambda df: df.select([F.col(c).alias(m) for c, m in zip(similarity.CLASS, marks, strict=True)])
+    classed = similarity.keyed(incoming, vector, scope).withColumnsRenamed(dict(zip(similarity.CLASS, marks, strict=True)))
+    blank = incoming.where(~has_angle(vector))
+    fresh = classed.join(key(similarity.near_any(incoming, known, floor=floor, vector=vector, scope=scope)), marks, "left_anti")
+    if order:
+        firsts = similarity.first_of_each(fresh.select(*incoming.columns), order=order, vector=vector, scope=scope, floor=floor)
+        firsts = firsts.select(*[F.col(c).alias(m) for c, m in zip(similarity.CLASS, marks, strict=True)], F.col("_order").alias("_is3"))
+        fresh = fresh.withColumn("_is3", F.col(order)).join(firsts, [*marks, "_is3"], "left_semi").dropDuplicates([*marks, "_is3"])
+    return fresh.select(*incoming.columns).unionAll(blank)
 
 
 def transcript(turns: DataFrame, *, conv: str, turn: str, role: str, text: str, last: int = 20, most: int = 500) -> DataFrame:

@@ -40,13 +40,6 @@ def vector_search_batch(chunks: DataFrame, queries: DataFrame, *, k: int, floor:
     return top_k(scored.select(query_id, id_col, "similarity"), k, "similarity", id_col, [query_id])
 
 
-def near_duplicates(vectors: DataFrame, *, floor: float = DEFAULT.memory_duplicate, id_col: str, vector: str, scope: str) -> DataFrame:
-    """Pairs a < b of one scope whose similarity is floor or more."""
-    a = vectors.select(F.col(scope), F.col(id_col).alias("a"), F.col(vector).alias("x"))
-    b = vectors.select(F.col(scope), F.col(id_col).alias("b"), F.col(vector).alias("y"))
-    return a.join(b, scope).where("a < b").withColumn("similarity", V.cosine(F.col("x"), F.col("y"))).where(F.col("similarity") >= floor).select(scope, "a", "b", "similarity")
-
-
 def postings(docs: DataFrame, *, id_col: str, text: str) -> DataFrame:
     """Inverted index: id, term, positions (ascending, from 1)."""
     words = docs.select(id_col, F.posexplode(T.lexemes(F.col(text))).alias("pos", "term"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lakequill.functions import text as T
 from lakequill.functions import vectors as V
-from lakequill.operators import chunking, rerank, search
+from lakequill.operators import chunking, rerank, search, similarity
 from lakequill.params import DEFAULT
 from lakequill.plans.registry import query
 from lakequill.sources import files
@@ -37,7 +37,7 @@ def vector_topk_batched(t):
 
 @query(f"SELECT a.label, a.vec_id AS a, b.vec_id AS b, {COS.format('a.embedding', 'b.embedding')} AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {COS.format('a.embedding', 'b.embedding')} >= 0.4")
 def vector_near_dup(t):
-    return search.near_duplicates(t.embeddings, floor=0.4, id_col="vec_id", vector="embedding", scope="label")
+    return similarity.near_duplicates(t.embeddings, floor=0.4, id_col="vec_id", vector="embedding", scope="label")
 
 
 LEX = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -261,7 +261,7 @@ def memory_new_only(t):
     from lakequill.operators import memory
 
     rows = t.embeddings.select("vec_id", "label", "embedding")
-    return memory.new_only(rows.where("vec_id >= 250"), rows.where("vec_id < 250"), id_col="vec_id", scope="label", floor=0.35).select("vec_id")
+    return memory.new_only(rows.where("vec_id >= 250"), rows.where("vec_id < 250"), scope="label", floor=0.35).select("vec_id")
 
 
 @query()
