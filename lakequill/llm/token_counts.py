@@ -170,7 +170,8 @@ def long_counts(long: DataFrame, path: str | None, size: int, overlap: int) -> D
     """_k1, _k2, _n of every text of long (_k1, _k2, _text)."""
     done, todo = None, long
     while True:
-        counts = stored(spliced(encoded(todo, size, overlap, path)), "token-counts")
+        chunks = stored(encoded(todo, size, overlap, path), "token-chunks")  # read three times
+        counts = stored(spliced(chunks), "token-counts")
         known = counts.where("_n IS NOT NULL")
         done = known if done is None else done.unionAll(known)
         failed = counts.where("_n IS NULL").select(*ROW_KEY)
