@@ -40,12 +40,6 @@ def vector_search_batch(chunks: DataFrame, queries: DataFrame, *, k: int, floor:
     return top_k(scored.select(query_id, id_col, "similarity"), k, "similarity", id_col, [query_id])
 
 
-def postings(docs: DataFrame, *, id_col: str, text: str) -> DataFrame:
-    """Inverted index: id, term, positions (ascending, from 1)."""
-    words = docs.select(id_col, F.posexplode(T.lexemes(F.col(text))).alias("pos", "term"))
-    return words.groupBy(id_col, "term").agg(F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions"))
-
-
 def query_terms(query: str) -> list[str]:
     import re
 
@@ -60,15 +54,13 @@ def lexical_match(docs: DataFrame, query: str, *, text: str) -> DataFrame:
     return docs.where(F.size(F.array_except(F.array(*[F.lit(t) for t in wanted]), T.lexemes(F.col(text)))) == 0)
 
 
-def cover_density(lexemes: Column, wanted: Column) -> Column:
-    """Cover-density rank r / (r + 1) of a text for the terms (an array without repeats), all of which must occur.
+def covers(hits: Column, n: Column) -> Column:
+    """Cover-density rank r / (r + 1) of one text: hits are (p, k), the places of the terms 1 to n, ascending.
 
     A cover is a shortest span with all terms; each adds 0.1 / (1 + words in it that are none of
     them). Spans are found in one pass: at each hit, the least of the terms' last places starts the
     shortest span that ends here, and it is a cover if no earlier end has the same start.
     """
-    n = F.size(wanted)
-    places = F.filter(F.transform(lexemes, lambda t, i: F.struct((i + 1).alias("p"), F.array_position(wanted, t).cast("int").alias("k"))), lambda x: x["k"] > 0)
     start = F.struct(F.array_repeat(F.lit(0), n).alias("last"), F.lit(0).alias("from"), F.lit(0.0).alias("rank"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -78,10 +70,16 @@ def cover_density(lexemes: Column, wanted: Column) -> Column:
         noise = F.greatest((x["p"] - low) - (n - 1), F.lit(0))
         return F.struct(last.alias("last"), F.when(new, low).otherwise(acc["from"]).alias("from"), (acc["rank"] + F.when(new, F.lit(0.1) / (1 + noise)).otherwise(0.0)).alias("rank"))
 
-    r = F.aggregate(places, start, step)["rank"]
+    r = F.aggregate(hits, start, step)["rank"]
     return r / (r + 1)
 
 
+def cover_density(lexemes: Column, wanted: Column) -> Column:
+    """Cover-density rank of a text for the terms (an array without repeats), all of which must occur."""
+    hits = F.filter(F.transform(lexemes, lambda t, i: F.struct((i + 1).alias("p"), F.array_position(wanted, t).cast("int").alias("k"))), lambda x: x["k"] > 0)
+    return covers(hits, F.size(wanted))
+
+
 def lexical_search(docs: DataFrame, query: str, *, k: int = DEFAULT.top_k, id_col: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
     wanted = query_terms(query)
     found = lexical_match(docs, query, text=text)
@@ -129,7 +127,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, *, params: Params = DEF
     k = 2 * params.top_k
     sem = vector_search_batch(chunks, queries, k=k, floor=params.min_similarity, id_col=id_col).select("query_id", id_col, F.col("similarity").alias("semantic_score"))
     asked = queries.select("query_id", F.array_distinct(T.lexemes(F.col("query"))).alias("terms")).where(F.size("terms") > 0)
-    hit = postings(chunks, id_col=id_col, text="chunk_text").join(asked.select("query_id", F.explode("terms").alias("term")), "term")
+    hit = chunks.select(id_col, F.explode(F.array_distinct(T.lexemes(F.col("chunk_text")))).alias("term")).join(asked.select("query_id", F.explode("terms").alias("term")), "term")
     full = hit.groupBy("query_id", id_col).agg(F.count(F.lit(1)).alias("m")).join(asked, "query_id").where(F.col("m") == F.size("terms"))
     ranked = full.join(chunks.select(id_col, "chunk_text"), id_col).withColumn("lexical_score", F.round(cover_density(T.lexemes(F.col("chunk_text")), F.col("terms")), V.EXACT))
     lex = top_k(ranked.select("query_id", id_col, "lexical_score"), k, "lexical_score", id_col, ["query_id"]).select("query_id", id_col, "lexical_score")

@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from lakequill.functions import text as T
 from lakequill.operators import memory
+from lakequill.operators.term_index import TermIndex
 from lakequill.operators.vector_index import VectorIndex
 from lakequill.plans.registry import query
-from lakequill.plans.retrieval import COS
+from lakequill.plans.retrieval import COS, LEX, cover_sql
 from lakequill.session import new_path
 
 
@@ -44,3 +46,11 @@ def memory_batch_new(t):
     """As memory_new_only, with the batch in order: what nearly equals a vector that stayed goes."""
     rows = t.embeddings.select("vec_id", "label", "embedding")
     return memory.new_only(rows.where("vec_id >= 250"), rows.where("vec_id < 250"), scope="label", floor=0.35, order="vec_id").select("vec_id")
+
+
+@query(cover_sql(f"SELECT item_id AS query_id, list_distinct({LEX}[1:item_id % 3 + 1]) AS terms FROM benchmark WHERE len({LEX}) > 0", 10))
+def term_index_search(t):
+    """The first one to three words of every benchmark item, by a stored index."""
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.lexemes(F.col("text")), 1, (F.col("item_id") % 3 + 1).cast("int")), " ").alias("query"))
+    index = TermIndex.build(t.documents, new_path(t.spark, "terms"), id_col="doc_id", text="text")
+    return index.search(asked, k=10, id_col="doc_id").drop("rank")

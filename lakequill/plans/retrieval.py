@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lakequill.functions import text as T
 from lakequill.functions import vectors as V
-from lakequill.operators import chunking, rerank, search, similarity
+from lakequill.operators import chunking, rerank, search, similarity, term_index
 from lakequill.params import DEFAULT
 from lakequill.plans.registry import query
 from lakequill.sources import files
@@ -54,14 +54,28 @@ def lexical_single_term_rank(t):
     return search.lexical_search(t.documents, "the", id_col="doc_id", text="text").select("doc_id", "lexical_score")
 
 
-@query()
+def cover_sql(asked: str, k: int) -> str:
+    """SQL for cover density. asked: SELECT of query_id and terms (an array of up to three different terms)."""
+    lasts = ", ".join(f"max(CASE WHEN i = {i} THEN p END) OVER w AS l{i}" for i in (1, 2, 3))
+    low = "CASE len(terms) WHEN 1 THEN l1 WHEN 2 THEN CASE WHEN l1 IS NOT NULL AND l2 IS NOT NULL THEN least(l1, l2) END ELSE CASE WHEN l1 IS NOT NULL AND l2 IS NOT NULL AND l3 IS NOT NULL THEN least(l1, l2, l3) END END"
+    return f"""WITH asked AS ({asked}),
+words AS (SELECT doc_id, unnest({LEX}) AS term, generate_subscripts({LEX}, 1) AS p FROM documents),
+hits AS (SELECT query_id, terms, doc_id, p, list_position(terms, term) AS i FROM words JOIN (SELECT query_id, terms, unnest(terms) AS term FROM asked) USING (term)),
+seen AS (SELECT *, {lasts} FROM hits WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY p)),
+spans AS (SELECT *, {low} AS low FROM seen),
+ends AS (SELECT *, low IS NOT NULL AND low IS DISTINCT FROM lag(low) OVER (PARTITION BY query_id, doc_id ORDER BY p) AS new FROM spans),
+scores AS (SELECT query_id, doc_id, sum(0.1::DOUBLE / (1 + greatest(p - low - (len(terms) - 1), 0))) AS r FROM ends WHERE new GROUP BY 1, 2)
+SELECT query_id, doc_id, round(r / (r + 1), 6) AS lexical_score FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(r / (r + 1), 6) DESC, doc_id) <= {k}"""
+
+
+@query(f"SELECT doc_id, lexical_score FROM ({cover_sql("SELECT 1 AS query_id, ['the', 'and'] AS terms", 30)})")
 def lexical_cover_density(t):
     return search.lexical_search(t.documents, "the and", id_col="doc_id", text="text").select("doc_id", "lexical_score")
 
 
 @query(f"SELECT doc_id, term, array_to_string(list_sort(list(pos)), ',') AS positions FROM (SELECT doc_id, unnest({LEX}) AS term, generate_subscripts({LEX}, 1) AS pos FROM documents) GROUP BY 1, 2")
 def inverted_index(t):
-    return search.postings(t.documents, id_col="doc_id", text="text").withColumn("positions", F.array_join(F.transform("positions", lambda p: p.cast("string")), ","))
+    return term_index.postings(t.documents, id_col="doc_id", text="text").withColumn("positions", F.array_join(F.transform("positions", lambda p: p.cast("string")), ","))
 
 
 ARMS = f"""WITH sem AS (SELECT vec_id AS doc_id, {COS.format('embedding', Q0)} AS semantic_score FROM embeddings WHERE {COS.format('embedding', Q0)} >= 0.1),
