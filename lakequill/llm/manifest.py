@@ -169,10 +169,14 @@ def manifest(leaves: DataFrame, *, group: str = "source", order: str = "doc_id",
     return out.select("_row.*", F.col("_subroot").alias("subroot"), F.col("_root").alias("root"), F.col("_proof").alias("proof"))
 
 
-@F.pandas_udf("string")
-def folded(leaf: pd.Series, proof: pd.Series) -> pd.Series:
+def folded(leaf: Column, proof: Column) -> Column:
     """The root that a leaf and its proof give."""
-    return pd.Series([fold(a, b) for a, b in zip(leaf, proof, strict=True)], dtype=object)
+
+    @F.pandas_udf("string")
+    def run(leaves: pd.Series, proofs: pd.Series) -> pd.Series:
+        return pd.Series([fold(a, b) for a, b in zip(leaves, proofs, strict=True)], dtype=object)
+
+    return run(leaf, proof)
 
 
 def siblings_digest(proof: Column) -> Column:
