@@ -1,6 +1,6 @@
 """All named queries."""
 
-from lakequill.plans import indexes, relational, retrieval, rows
+from lakequill.plans import indexes, relational, retrieval, rows, stateful
 from lakequill.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "indexes", "relational", "retrieval", "rows"]
+__all__ = ["QUERIES", "SQL", "indexes", "relational", "retrieval", "rows", "stateful"]

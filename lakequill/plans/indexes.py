@@ -1,14 +1,15 @@
-"""Queries over stored indexes and similarity joins."""
+"""Queries over stored indexes, similarity joins and tables with versions."""
 
 from pyspark.sql import functions as F
 
 from lakequill.functions import text as T
-from lakequill.operators import memory
+from lakequill.operators import chunking, memory
 from lakequill.operators.term_index import TermIndex
 from lakequill.operators.vector_index import VectorIndex
 from lakequill.plans.registry import query
-from lakequill.plans.retrieval import COS, LEX, cover_sql
+from lakequill.plans.retrieval import CHARS, COS, LEX, cover_sql
 from lakequill.session import new_path
+from lakequill.sources.versions import VersionedTables, replace_documents
 
 
 def built_index(t, lists: int | None = None) -> VectorIndex:
@@ -54,3 +55,22 @@ def term_index_search(t):
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.lexemes(F.col("text")), 1, (F.col("item_id") % 3 + 1).cast("int")), " ").alias("query"))
     index = TermIndex.build(t.documents, new_path(t.spark, "terms"), id_col="doc_id", text="text")
     return index.search(asked, k=10, id_col="doc_id").drop("rank")
+
+
+PIECES = CHARS.replace("FROM documents", "FROM d")
+
+
+@query(f"""WITH d AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0), old AS ({PIECES}),
+new AS (WITH d AS (SELECT doc_id, 'Second edition. ' || text AS text FROM documents WHERE doc_id % 10 = 0) {PIECES}),
+first AS (WITH d AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 = 0) {PIECES})
+SELECT 2 AS version, doc_id, chunk_index, sha256(chunk_text) AS digest FROM (SELECT * FROM old UNION ALL SELECT * FROM new)
+UNION ALL SELECT 1, doc_id, chunk_index, sha256(chunk_text) FROM (SELECT * FROM old UNION ALL SELECT * FROM first)""")
+def versioned_replace(t):
+    """Documents with their chunks, every tenth replaced by a second edition; the chunks in both versions."""
+    tables = VersionedTables(t.spark, new_path(t.spark, "versions"))
+    docs = t.documents.select("doc_id", "text")
+    replace_documents(tables, docs, chunking.char_chunks(docs))
+    again = docs.where("doc_id % 10 = 0").withColumn("text", F.concat(F.lit("Second edition. "), "text"))
+    replace_documents(tables, again, chunking.char_chunks(again))
+    digest = F.sha2(F.col("chunk_text").cast("binary"), 256).alias("digest")
+    return tables.read("chunks").select(F.lit(2).alias("version"), "doc_id", "chunk_index", digest).unionAll(tables.read("chunks", 1).select(F.lit(1), "doc_id", "chunk_index", digest))
