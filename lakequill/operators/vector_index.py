@@ -85,7 +85,7 @@ class VectorIndex:
     def __init__(self, spark: SparkSession, path: str, *, id_col: str = "chunk_id", vector: str = "embedding"):
         self.spark, self.path, self.id_col, self.vector = spark, path, id_col, vector
         rows = spark.read.parquet(f"{path}/centroids").orderBy("list").collect()
-        self.centroids = np.array([r["centroid"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        self.centroids = np.array([r["centroid"] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
 
     @classmethod
     def build(cls, vectors: DataFrame, path: str, *, id_col: str = "chunk_id", vector: str = "embedding", lists: int | None = None, sample: int = SAMPLE) -> VectorIndex:
