@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +42,27 @@ def embed(text: Column, dim: int = 768) -> Column:
     count = lambda places: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda x: x == i)).cast("double"))
     scaled = lambda c: let(F.sqrt(dot(c, c)), lambda norm: F.when(norm > 0, F.transform(c, lambda x: x / norm)).otherwise(unit))
     return let(let(at, count), scaled).cast("array<float>")
+
+
+def hashed(text: Column, dim: int = 768) -> Column:
+    """embed in double precision, by Arrow batches: work grows with the words, not with words times dimensions."""
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        words, find, places = {}, re.compile("[a-z0-9]+").findall, []
+        for t in texts:
+            counts = np.zeros(dim)
+            for w in find((t or "").lower()):
+                at = words.get(w)
+                if at is None:
+                    at = words[w] = zlib.crc32(w.encode()) % dim
+                counts[at] += 1
+            norm = np.sqrt(counts @ counts)
+            if norm > 0:
+                counts /= norm
+            else:
+                counts[0] = 1.0
+            places.append(counts)
+        return pd.Series(places)
+
+    return run(text)

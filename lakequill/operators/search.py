@@ -28,16 +28,15 @@ def vector_search(chunks: DataFrame, query: Column, *, k: int = DEFAULT.top_k, f
     return top_k(scored, k, "similarity", id_col)
 
 
-def vector_search_batch(chunks: DataFrame, queries: DataFrame, *, k: int, floor: float = -1.0, id_col: str = "chunk_id", vector: str = "embedding", query_id: str = "query_id", blocks: int = 8) -> DataFrame:
-    """The k nearest chunks of every query. queries: query_id, qv.
+def vector_search_batch(chunks: DataFrame, queries: DataFrame, *, k: int, floor: float = -1.0, id_col: str = "chunk_id", vector: str = "embedding", query_id: str = "query_id", by: str | None = None) -> DataFrame:
+    """query_id, id, similarity, rank: the k nearest chunks of every query (in each group, if by names one). queries: query_id, qv.
 
-    Every query meets every chunk: queries go to all of `blocks` groups, chunks to one each, so the
-    join is hashed and even, and each block keeps k rows a query before the last ranking.
+    Queries are held by every task and meet each batch of chunks in one product; k rows a query and
+    batch are left before the last ranking, so vectors are never shuffled or copied.
     """
-    spread = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = chunks.withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int"))
-    scored = dealt.join(spread, "_block").withColumn("similarity", V.cosine(F.col(vector), F.col("qv"))).where(F.col("similarity") >= floor)
-    return top_k(scored.select(query_id, id_col, "similarity"), k, "similarity", id_col, [query_id])
+    from lakequill.operators.vector_index import nearest
+
+    return nearest(chunks, queries, k=k, floor=floor, id_col=id_col, vector=vector, query_id=query_id, by=by)
 
 
 def query_terms(query: str) -> list[str]:
@@ -114,23 +113,50 @@ def signals(query: Column, text: Column, index: Column) -> Column:
     return coverage + position + F.when(size.between(200, 800), 0.02).when(size < 100, -0.02).otherwise(0.0)
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, *, params: Params = DEFAULT, id_col: str = "chunk_id") -> DataFrame:
+def lexical_search_batch(chunks: DataFrame, queries: DataFrame, *, k: int, id_col: str = "chunk_id", text: str = "chunk_text", by: list[str] | None = None) -> DataFrame:
+    """query_id, id, lexical_score (and by): the k best chunks of every query that have all its words, by cover density.
+
+    Each query looks for its rarest word; only the chunks that have that one are read for the others.
+    Queries without words find nothing. For many batches over the same texts, use term_index.
+    """
+    by = by or []
+    asked = queries.select("query_id", F.array_distinct(T.lexemes(F.col("query"))).alias("terms")).where(F.size("terms") > 0)
+    words = asked.select("query_id", F.explode("terms").alias("term"))
+    held = chunks.select(id_col, F.explode(F.array_distinct(T.lexemes(F.col(text)))).alias("term"))
+    df = held.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    first = words.join(df, "term", "left").fillna(0, ["df"]).groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("x"))
+    leads = first.where("x.df > 0").select("query_id", F.col("x.term").alias("term"))
+    pairs = held.join(leads, "term").select("query_id", id_col).join(asked, "query_id")
+    lexemes = T.lexemes(F.col(text))
+    full = pairs.join(chunks.select(id_col, text, *by), id_col).where(F.size(F.array_except("terms", lexemes)) == 0)
+    ranked = full.select("query_id", id_col, *by, F.round(cover_density(lexemes, F.col("terms")), V.EXACT).alias("lexical_score"))
+    return top_k(ranked, k, "lexical_score", id_col, ["query_id", *by]).drop("rank")
+
+
+def hybrid_search(chunks: DataFrame, queries: DataFrame, *, params: Params = DEFAULT, id_col: str = "chunk_id", workspace: str | None = None, weights: list[float] | None = None) -> DataFrame:
     """Hybrid retrieval for a batch of queries.
 
     chunks: chunk_id, filename, chunk_index, chunk_text, embedding. queries: query_id, query, qv.
-    Both arms take twice top_k; then blend, membership, diversity, signals, rank and adjacency.
-    Returns query_id, filename, chunk_index, chunk_id, chunk_text, similarity, combined_score,
-    in no order; within a query the stages run over a few top_k rows.
+    Both arms take twice top_k (of each workspace, if that names a column; of chunks that several
+    have by file and index, the last workspace's stays); then blend, membership, diversity, signals,
+    rank and adjacency. weights, of operators.ranker, mix a learned score in. Returns query_id,
+    filename, chunk_index, chunk_id, chunk_text, similarity, combined_score and place, the reading
+    order: by file and chunk. Within a query the stages run over a few top_k rows.
     """
-    from lakequill.operators.rerank import diverse_and_ranked
+    from lakequill.operators import ranker
+    from lakequill.operators.rerank import cross_encoded, diverse_and_ranked
+    from lakequill.operators.rows import merge_workspaces
 
-    k = 2 * params.top_k
-    sem = vector_search_batch(chunks, queries, k=k, floor=params.min_similarity, id_col=id_col).select("query_id", id_col, F.col("similarity").alias("semantic_score"))
-    asked = queries.select("query_id", F.array_distinct(T.lexemes(F.col("query"))).alias("terms")).where(F.size("terms") > 0)
-    hit = chunks.select(id_col, F.explode(F.array_distinct(T.lexemes(F.col("chunk_text")))).alias("term")).join(asked.select("query_id", F.explode("terms").alias("term")), "term")
-    full = hit.groupBy("query_id", id_col).agg(F.count(F.lit(1)).alias("m")).join(asked, "query_id").where(F.col("m") == F.size("terms"))
-    ranked = full.join(chunks.select(id_col, "chunk_text"), id_col).withColumn("lexical_score", F.round(cover_density(T.lexemes(F.col("chunk_text")), F.col("terms")), V.EXACT))
-    lex = top_k(ranked.select("query_id", id_col, "lexical_score"), k, "lexical_score", id_col, ["query_id"]).select("query_id", id_col, "lexical_score")
-    found = members(blend(sem, lex, ["query_id", id_col], weight=params.semantic_weight, by=["query_id"]), params.min_similarity)
-    rows = found.join(chunks.drop("embedding"), id_col).join(queries.select("query_id", "query"), "query_id")
-    return diverse_and_ranked(rows, params, id_col)
+    k, by = 2 * params.top_k, [workspace] if workspace else []
+    sem = vector_search_batch(chunks, queries, k=k, floor=params.min_similarity, id_col=id_col, by=workspace).select("query_id", id_col, F.col("similarity").alias("semantic_score"))
+    lex = lexical_search_batch(chunks, queries, k=k, id_col=id_col, by=by)
+    if by:
+        sem = sem.join(chunks.select(id_col, *by), id_col)
+    found = members(blend(sem, lex, ["query_id", id_col, *by], weight=params.semantic_weight, by=["query_id", *by]), params.min_similarity)
+    rows = found.drop(*by).join(chunks.drop("embedding"), id_col).join(queries.select("query_id", "query"), "query_id")
+    if by:
+        rows = merge_workspaces(rows, ["query_id", "filename", "chunk_index"], workspace)
+    if weights:
+        rows = cross_encoded(ranker.reranked(rows, weights), weight=params.reranker_weight).drop("rerank_score")
+    ranked = diverse_and_ranked(rows, params, id_col)
+    return ranked.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("filename", "chunk_index")))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 from lakequill.functions import vectors as V
 from lakequill.session import stored
@@ -162,8 +162,7 @@ class VectorIndex:
 
     def _pass(self, queries: DataFrame, k: int, nprobe: int | None, floor: float, query_id: str, query_vector: str, where: list[Column] | None) -> DataFrame:
         held = queries.toArrow()
-        kind = queries.schema[query_id].dataType
-        vectors = unit(matrix(held.column(1).combine_chunks())) if held.num_rows else np.zeros((0, self.centroids.shape[1]))
+        vectors = units_of(held, self.centroids.shape[1])
         near = np.argsort(-(vectors @ self.centroids.T), axis=1, kind="stable")[:, : nprobe or len(self.centroids)]
         asked = {int(c): np.nonzero((near == c).any(axis=1))[0] for c in np.unique(near)}
         found = self.rows()
@@ -171,26 +170,65 @@ class VectorIndex:
             found = found.where(F.col("list").isin(sorted(asked)))  # folders of other lists aren't read
         for condition in where or []:
             found = found.where(condition)
-        out_names = [query_id, self.id_col, "similarity", "list"]
-        shared = self.spark.sparkContext.broadcast((held.column(0).combine_chunks(), vectors, asked))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, units, wanted = shared.value
-            for batch in batches:
-                lists = batch.column(2).to_numpy()
-                for c in np.unique(lists):
-                    part = batch.filter(pa.array(lists == c))
-                    rows = unit(matrix(part.column(1))).T
-                    step = max(1, CELLS // part.num_rows)
-                    for i in range(0, len(wanted[int(c)]), step):
-                        who = wanted[int(c)][i : i + step]
-                        scores = np.round(units[who] @ rows, V.EXACT)
-                        # rows that tie with the kth stay
-                        least = np.partition(scores, -k, axis=1)[:, -k][:, None] if part.num_rows > k else -np.inf
-                        q, r = np.nonzero((scores >= floor) & (scores >= least))
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array(who[q])), part.column(0).take(pa.array(r)), pa.array(scores[q, r], pa.float64()), pa.array(np.full(len(q), c), pa.int32())], out_names)
-
-        schema = StructType().add(query_id, kind).add(self.id_col, found.schema[self.id_col].dataType).add("similarity", DoubleType()).add("list", "integer")
-        scored = found.select(self.id_col, self.vector, "list").mapInArrow(score, schema)
+        scored = scored_pairs(found.select(self.id_col, self.vector, "list"), queries, held, asked, k, floor)
         order = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), self.id_col)
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def units_of(held: pa.Table, width: int) -> np.ndarray:
+    return unit(matrix(held.column(1).combine_chunks())) if held.num_rows else np.zeros((0, width))
+
+
+def scored_pairs(found: DataFrame, queries: DataFrame, held: pa.Table, asked: dict[int, np.ndarray] | None, k: int, floor: float) -> DataFrame:
+    """query id, id, similarity, list of each query's k best rows, and those that tie with them, of every batch and list.
+
+    found: id, vector, list. queries and what they hold: id, vector. asked: the places of the
+    queries that look into a list (None: all look into all). Scores come from one product a batch.
+    """
+    id_col, _, part = found.columns
+    query_id = queries.columns[0]
+    names = [query_id, id_col, "similarity", part]
+    shared = found.sparkSession.sparkContext.broadcast((held.column(0).combine_chunks(), units_of(held, 1), asked))
+    list_type = pa.int64() if isinstance(found.schema[part].dataType, LongType) else pa.int32()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, units, wanted = shared.value
+        everyone = np.arange(len(units))
+        for batch in batches:
+            lists = batch.column(2).to_numpy()
+            for c in np.unique(lists):
+                own = batch.filter(pa.array(lists == c))
+                rows = unit(matrix(own.column(1))).T
+                looking = everyone if wanted is None else wanted[int(c)]
+                step = max(1, CELLS // own.num_rows)
+                for i in range(0, len(looking), step):
+                    who = looking[i : i + step]
+                    scores = np.round(units[who] @ rows, V.EXACT)
+                    # rows that tie with the kth stay
+                    least = np.partition(scores, -k, axis=1)[:, -k][:, None] if own.num_rows > k else -np.inf
+                    q, r = np.nonzero((scores >= floor) & (scores >= least))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(who[q])), own.column(0).take(pa.array(r)), pa.array(scores[q, r], pa.float64()), pa.array(np.full(len(q), c), list_type)], names)
+
+    schema = StructType().add(query_id, queries.schema[query_id].dataType).add(id_col, found.schema[id_col].dataType).add("similarity", DoubleType()).add(part, found.schema[part].dataType)
+    return found.mapInArrow(score, schema)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int, floor: float = -1.0, id_col: str = "chunk_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "qv", by: str | None = None) -> DataFrame:
+    """query_id, id, similarity, rank (and by): the k nearest vectors of every query, in each group if by names one. The exact search without an index.
+
+    Vectors or queries that are null, not finite or of length zero take no part. Queries are held
+    in memory in passes of QUERY_BYTES, and vectors are read once a pass; a single pass is lazy.
+    """
+    asked = usable(queries.select(query_id, query_vector), query_vector)
+    sizes = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vector)).alias("w")).first()
+    passes = -(-sizes["n"] * 8 * (sizes["w"] or 1) // QUERY_BYTES) or 1
+    group = F.xxhash64(F.col(by).cast("string")) if by else F.lit(0).cast("long")
+    found = usable(vectors, vector).select(id_col, vector, group.alias("_list"))
+    order = Window.partitionBy(query_id, "_list").orderBy(F.col("similarity").desc(), id_col)
+    out = None
+    for i in range(passes):
+        mine = asked if passes == 1 else asked.where(F.pmod(F.xxhash64(query_id), F.lit(passes)) == i)
+        part = scored_pairs(found, mine, mine.toArrow(), None, k, floor).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_list")
+        part = part if passes == 1 else stored(part, "nearest")
+        out = part if out is None else out.unionAll(part)
+    return out

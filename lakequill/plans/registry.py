@@ -32,3 +32,10 @@ def query(sql: str | None = None):
         return f
 
     return register
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {step}), 4294967295)"

@@ -6,7 +6,8 @@ from lakequill.functions import text as T
 from lakequill.functions import vectors as V
 from lakequill.operators import chunking, rerank, search, similarity, term_index
 from lakequill.params import DEFAULT
-from lakequill.plans.registry import query
+from lakequill.plans.registry import crc_sql, query
+from lakequill.session import stored
 from lakequill.sources import files
 
 COS = "round(list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[]), 6)"
@@ -112,25 +113,84 @@ def multisignal_rerank(t):
     return t.documents.select("doc_id", F.round(boost, 6).alias("boost"))
 
 
-def chunked(t):
-    """Documents as one chunk each; those without a vector have a null embedding and are found by their words."""
-    return t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id"), "left").select(
-        F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("filename"), F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"), "embedding")
+CHARS = """SELECT doc_id, (pos // 1050)::INT AS chunk_index, trim(substr(text, pos + 1, 1200)) AS chunk_text
+FROM (SELECT doc_id, text, unnest(range(0, length(text), 1050)) AS pos FROM documents WHERE length(text) > 0) WHERE length(trim(substr(text, pos + 1, 1200))) >= 10"""
+DIM = 64
+
+
+def chunk_table(t):
+    """Every document's chunks with their embeddings, stored once."""
+    pieces = chunking.char_chunks(t.documents).select(
+        (F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("filename"), "chunk_index", "chunk_text", (F.col("doc_id") % 2).alias("workspace"))
+    return stored(pieces.withColumn("embedding", V.hashed(F.col("chunk_text"), DIM)), "chunks")
+
+
+def asked_queries(t):
+    """The benchmark's texts as queries."""
+    return t.benchmark.where("text IS NOT NULL").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), V.hashed(F.col("text"), DIM).alias("qv"))
+
+
+def retrieved(t):
+    """What hybrid search finds, stored, as the stages after it read it more than once."""
+    return stored(search.hybrid_search(chunk_table(t), asked_queries(t), workspace="workspace"), "retrieved")
+
+
+def hybrid_sql() -> str:
+    """hybrid_search by stages in SQL: arms per workspace, blend, membership, merge, diversity, signals, rank, adjacency, order."""
+    top = lambda score: f"row_number() OVER (PARTITION BY query_id, workspace ORDER BY {score} DESC, chunk_id) <= 60"
+    code = crc_sql("w")
+    counted = lambda key, rows: f"SELECT {key}, coalesce(b, 0) AS b, count(*) AS c FROM (SELECT {key}, unnest(CASE WHEN len(regexp_extract_all(lower(x), '[a-z0-9]+')) = 0 THEN [''] ELSE regexp_extract_all(lower(x), '[a-z0-9]+') END) AS w FROM {rows}) LEFT JOIN codes USING (w) GROUP BY ALL"
+    words = WORDS.format("chunk_text")
+    boost = f"""len(list_intersect({WORDS.format('query')}, {words}))::DOUBLE / len({WORDS.format('query')}) * 0.05::DOUBLE + greatest(0, 0.03::DOUBLE - 0.002::DOUBLE * chunk_index)
+  + CASE WHEN length(chunk_text) BETWEEN 200 AND 800 THEN 0.02 WHEN length(chunk_text) < 100 THEN -0.02 ELSE 0 END::DOUBLE"""
+    walk = lambda name, rows, near, most: f"""{name}(query_id, no, ids) AS (SELECT DISTINCT query_id, 0::BIGINT, []::BIGINT[] FROM {rows}
+  UNION ALL SELECT s.query_id, r.no, CASE WHEN len(s.ids) >= {most} OR list_has_any(s.ids, r.{near}) THEN s.ids ELSE list_append(s.ids, r.no) END FROM {name} s JOIN {rows} r ON r.query_id = s.query_id AND r.no = s.no + 1)"""
+    return f"""WITH RECURSIVE pieces AS ({CHARS}),
+chunks AS (SELECT doc_id * 1000000 + chunk_index AS chunk_id, 'doc_' || doc_id || '.txt' AS filename, chunk_index, chunk_text, doc_id % 2 AS workspace FROM pieces),
+q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE text IS NOT NULL),
+codes AS MATERIALIZED (SELECT w, {code} % {DIM} AS b FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) AS w FROM (SELECT chunk_text AS x FROM chunks UNION ALL SELECT query FROM q))),
+cv AS MATERIALIZED ({counted('chunk_id', '(SELECT chunk_id, chunk_text AS x FROM chunks)')}), qv AS MATERIALIZED ({counted('query_id', '(SELECT query_id, query AS x FROM q)')}),
+cn AS (SELECT chunk_id, sqrt(sum(c * c)) AS n FROM cv GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(c * c)) AS n FROM qv GROUP BY 1),
+dots AS (SELECT query_id, chunk_id, sum(qv.c * cv.c) AS d FROM qv JOIN cv USING (b) GROUP BY 1, 2),
+sem AS (SELECT query_id, chunk_id, workspace, sim FROM (SELECT query_id, chunk_id, round(d / (qn.n * cn.n), 6) AS sim FROM dots JOIN qn USING (query_id) JOIN cn USING (chunk_id)) JOIN chunks USING (chunk_id) WHERE sim >= 0.30 QUALIFY {top('sim')}),
+terms AS (SELECT query_id, unnest(list_distinct({LEX.replace('lower(text)', 'lower(query)')})) AS term FROM q),
+places AS MATERIALIZED (SELECT chunk_id, unnest({LEX.replace('lower(text)', 'lower(chunk_text)')}) AS term, generate_subscripts({LEX.replace('lower(text)', 'lower(chunk_text)')}, 1) AS p FROM chunks),
+have AS (SELECT query_id, chunk_id, count(DISTINCT term) AS n FROM terms JOIN (SELECT DISTINCT chunk_id, term FROM places) USING (term) GROUP BY 1, 2),
+complete AS (SELECT query_id, chunk_id, n FROM have JOIN (SELECT query_id, count(*) AS n FROM terms GROUP BY 1) USING (query_id, n)),
+hits AS (SELECT query_id, chunk_id, n, term, p FROM complete JOIN terms USING (query_id) JOIN places USING (chunk_id, term)),
+lows AS (SELECT query_id, chunk_id, n, p, count(*) AS seen, min(last) AS low FROM (SELECT a.query_id, a.chunk_id, a.n, a.p, b.term, max(b.p) AS last FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.p <= a.p GROUP BY ALL) GROUP BY 1, 2, 3, 4),
+covers AS (SELECT query_id, chunk_id, sum(0.1::DOUBLE / (1 + greatest(p - low - (n - 1), 0))) AS r FROM (SELECT *, lag(low) OVER (PARTITION BY query_id, chunk_id ORDER BY p) AS before FROM lows WHERE seen = n) WHERE before IS DISTINCT FROM low GROUP BY 1, 2),
+lex AS (SELECT query_id, chunk_id, workspace, s FROM (SELECT query_id, chunk_id, round(r / (r + 1), 6) AS s FROM covers) JOIN chunks USING (chunk_id) QUALIFY {top('s')}),
+blended AS (SELECT query_id, workspace, chunk_id, coalesce(sim, 0) AS sim, coalesce(s, 0) AS s, max(coalesce(s, 0)) OVER (PARTITION BY query_id, workspace) > 0 AS lexical FROM sem FULL JOIN lex USING (query_id, workspace, chunk_id)),
+found AS (SELECT query_id, chunk_id, sim, round(CASE WHEN lexical THEN 0.7::DOUBLE * sim + 0.3::DOUBLE * s ELSE sim END, 6) AS score FROM blended WHERE sim >= 0.30 OR s > 0),
+cand AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS no, count(*) OVER (PARTITION BY query_id) AS many, {words} AS ws FROM found JOIN chunks USING (chunk_id) JOIN q USING (query_id)),
+alike AS (SELECT b.query_id, b.no, list(a.no) AS near FROM cand a JOIN cand b ON a.query_id = b.query_id AND a.no < b.no
+  WHERE len(list_intersect(a.ws, b.ws))::DOUBLE / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) > 0.7 GROUP BY 1, 2),
+cand2 AS MATERIALIZED (SELECT c.*, coalesce(near, []) AS near FROM cand c LEFT JOIN alike USING (query_id, no)),
+{walk('diverse', 'cand2', 'near', 12)},
+kept AS (SELECT query_id, unnest(ids) AS no FROM diverse QUALIFY diverse.no = max(diverse.no) OVER (PARTITION BY query_id)),
+scored AS (SELECT query_id, chunk_id, filename, chunk_index, chunk_text, sim, CASE WHEN many > 1 THEN round(score + {boost}, 6) ELSE score END AS score FROM cand2 JOIN kept USING (query_id, no)),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index, chunk_id) AS no FROM scored),
+beside AS (SELECT b.query_id, b.no, list(a.no) AS near FROM ranked a JOIN ranked b ON a.query_id = b.query_id AND a.no < b.no AND a.filename = b.filename AND abs(a.chunk_index - b.chunk_index) <= 2 GROUP BY 1, 2),
+ranked2 AS MATERIALIZED (SELECT r.*, coalesce(near, []) AS near FROM ranked r LEFT JOIN beside USING (query_id, no)),
+{walk('apart', 'ranked2', 'near', 999)},
+final AS (SELECT query_id, unnest(ids) AS no FROM apart QUALIFY apart.no = max(apart.no) OVER (PARTITION BY query_id)),
+results AS MATERIALIZED (SELECT query_id, filename, chunk_index, chunk_id, chunk_text, sim AS similarity, score AS combined_score, row_number() OVER (PARTITION BY query_id ORDER BY filename, chunk_index)::INT AS place FROM ranked2 JOIN final USING (query_id, no))
+"""
 
 
-def stated_queries(t):
-    asked = t.spark.createDataFrame([(1, "the of"), (2, "inin"), (3, "nowhere to be found")], "query_id long, query string")
-    return asked.join(t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
+RETRIEVED = hybrid_sql()
 
 
-@query()
+@query(RETRIEVED + "SELECT query_id, filename, chunk_index, chunk_id, similarity, combined_score, place FROM results")
 def hybrid_pipeline(t):
-    return search.hybrid_search(chunked(t), stated_queries(t)).drop("chunk_text")
+    """Every benchmark text over all documents' chunks, of two workspaces."""
+    return retrieved(t).drop("chunk_text")
 
 
 @query()
 def context_pack(t):
-    return rerank.packed_context(search.hybrid_search(chunked(t), stated_queries(t)))
+    return rerank.packed_context(retrieved(t))
 
 
 @query("""WITH r AS (SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN NULL ELSE (length(text) % 40)::DOUBLE / 4 - 12 END AS s FROM conversations),
@@ -161,10 +221,6 @@ def web_context_budget(t):
     return rerank.web_budget(t.conversations.select("conv_id", "turn", "text"), by="conv_id", order="turn", text="text", most=1000)
 
 
-CHARS = """SELECT doc_id, (pos // 1050)::INT AS chunk_index, trim(substr(text, pos + 1, 1200)) AS chunk_text
-FROM (SELECT doc_id, text, unnest(range(0, length(text), 1050)) AS pos FROM documents WHERE length(text) > 0) WHERE length(trim(substr(text, pos + 1, 1200))) >= 10"""
-
-
 @query(CHARS)
 def char_chunks(t):
     return chunking.char_chunks(t.documents)
@@ -278,24 +334,38 @@ def memory_new_only(t):
     return memory.new_only(rows.where("vec_id >= 250"), rows.where("vec_id < 250"), scope="label", floor=0.35).select("vec_id")
 
 
-@query()
+@query(RETRIEVED + """SELECT query_id, list_sort(list(filename || '#' || chunk_index)) AS sources, count(DISTINCT filename) AS files, round(least(1, greatest(0, avg(combined_score))), 4) AS confidence FROM results GROUP BY 1""")
 def answer_payload(t):
+    """The JSON payload of every query, read again for its parts."""
     from lakequill.operators import orchestrate
 
-    return orchestrate.payload(search.hybrid_search(chunked(t), stated_queries(t)))
+    made = orchestrate.payload(retrieved(t))
+    parsed = made.select("query_id", F.from_json("payload", "sources array<struct<filename: string, chunk_index: int, chunk_id: long, similarity: double>>, chunk_ids array<long>, files array<string>, confidence double").alias("p"))
+    return parsed.select("query_id", F.array_sort(F.transform("p.sources", lambda x: F.concat_ws("#", x["filename"], x["chunk_index"]))).alias("sources"), F.size("p.files").cast("long").alias("files"), "p.confidence")
 
 
-@query()
+@query(f"""WITH asked AS (SELECT item_id AS query_id, list_distinct({LEX}[1:2]) AS terms FROM benchmark WHERE len({LEX}) > 0),
+words AS (SELECT doc_id, unnest({LEX}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+found AS (SELECT query_id, doc_id, round(sum(0.1::DOUBLE * tf / (1 + 0.1::DOUBLE * tf)), 6) AS score FROM (SELECT query_id, terms, unnest(terms) AS term FROM asked) JOIN tf USING (term) GROUP BY query_id, doc_id, terms HAVING count(*) = len(terms)),
+docs AS (SELECT query_id, 'documents' AS tool, doc_id AS id FROM found QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3),
+pages_of AS (SELECT query_id, 'pages' AS tool, page_id AS id FROM asked JOIN pages ON page_id % 40 = query_id % 40),
+rows_of AS (SELECT * FROM docs UNION ALL SELECT * FROM pages_of)
+SELECT query_id, tool, id, 'ok' AS status FROM rows_of
+UNION ALL SELECT query_id, tool, NULL, 'empty' FROM asked, (VALUES ('documents'), ('pages')) v(tool) WHERE (query_id, tool) NOT IN (SELECT query_id, tool FROM rows_of)
+UNION ALL SELECT query_id, 'mail', NULL, 'unknown' FROM asked""")
 def job_matrix(t):
+    """Three tools for every benchmark item: a search by table function, pages by key, and one that isn't there."""
     from lakequill.operators import orchestrate
+    from lakequill.plans.learned import tooled
 
-    asked = stated_queries(t).select("query_id", "query", F.array(F.lit("documents"), F.lit("pages"), F.lit("mail")).alias("tools"))
-    docs, pages = t.documents, t.pages
+    lex = T.lexemes(F.col("text"))
+    asked = t.benchmark.where(F.size(lex) > 0).select(F.col("item_id").alias("query_id"), F.array_join(F.slice(lex, 1, 2), " ").alias("query"), F.array(F.lit("documents"), F.lit("pages"), F.lit("mail")).alias("tools"))
+    registry, pages = tooled(t), t.pages.select("page_id", (F.col("page_id") % 40).alias("k"))
     tools = {
-        "documents": lambda q: q.join(search.lexical_search(docs, "inin", k=3, id_col="doc_id", text="text").select("doc_id", "lexical_score"), F.col("query").contains("inin")).select("query_id", "doc_id", "lexical_score"),
-        "pages": lambda q: q.join(pages.orderBy("page_id").limit(2).select("page_id"), F.lit(True)).select("query_id", "page_id"),
+        "documents": lambda q: registry.lateral(q, "search_documents", q="r.query", k="3").select("query_id", F.col("doc_id").alias("id")),
+        "pages": lambda q: q.withColumn("k", F.col("query_id") % 40).join(pages, "k").select("query_id", F.col("page_id").alias("id")),
     }
-    return orchestrate.job_matrix(asked, tools)
+    return orchestrate.job_matrix(asked, tools).select("query_id", "tool", F.get_json_object("result", "$.id").cast("long").alias("id"), "status")
 
 
 @query("SELECT doc_id, sha256('default:' || text) AS cache_key FROM documents WHERE text IS NOT NULL")
