@@ -113,10 +113,13 @@ def signals(query: Column, text: Column, index: Column) -> Column:
     return coverage + position + F.when(size.between(200, 800), 0.02).when(size < 100, -0.02).otherwise(0.0)
 
 
+LEADS = 3
+
+
 def lexical_search_batch(chunks: DataFrame, queries: DataFrame, *, k: int, id_col: str = "chunk_id", text: str = "chunk_text", by: list[str] | None = None) -> DataFrame:
     """query_id, id, lexical_score (and by): the k best chunks of every query that have all its words, by cover density.
 
-    Each query looks for its rarest word; only the chunks that have that one are read for the others.
+    Each query looks for its LEADS rarest words; only the chunks that have these are read for the others.
     Queries without words find nothing. For many batches over the same texts, use term_index.
     """
     by = by or []
@@ -124,9 +127,10 @@ def lexical_search_batch(chunks: DataFrame, queries: DataFrame, *, k: int, id_co
     words = asked.select("query_id", F.explode("terms").alias("term"))
     held = chunks.select(id_col, F.explode(F.array_distinct(T.lexemes(F.col(text)))).alias("term"))
     df = held.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    first = words.join(df, "term", "left").fillna(0, ["df"]).groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("x"))
-    leads = first.where("x.df > 0").select("query_id", F.col("x.term").alias("term"))
-    pairs = held.join(leads, "term").select("query_id", id_col).join(asked, "query_id")
+    group = Window.partitionBy("query_id")
+    rare = words.join(df, "term").withColumn("_have", F.count(F.lit(1)).over(group)).withColumn("_no", F.row_number().over(group.orderBy("df", "term")))
+    leads = rare.join(asked.select("query_id", F.size("terms").alias("n")), "query_id").where(f"_have = n AND _no <= {LEADS}").select("query_id", "term", F.least("n", F.lit(LEADS)).alias("wanted"))
+    pairs = held.join(leads, "term").groupBy("query_id", id_col, "wanted").agg(F.count(F.lit(1)).alias("has")).where("has = wanted").select("query_id", id_col).join(asked, "query_id")
     lexemes = T.lexemes(F.col(text))
     full = pairs.join(chunks.select(id_col, text, *by), id_col).where(F.size(F.array_except("terms", lexemes)) == 0)
     ranked = full.select("query_id", id_col, *by, F.round(cover_density(lexemes, F.col("terms")), V.EXACT).alias("lexical_score"))
