@@ -5,8 +5,9 @@ In each binomial round, groups of `fan_in` runs that differ in one digit of thei
 entries: an entry goes to the run that has its digest's digit there. A run then merges what it gets,
 sorted by digest, and of each digest keeps the smallest (or largest) id. After log(runs) rounds the
 number of a run is a part of its digests, so that every digest is in one run, and no run ever held
-more than its share: entries for a digest that come together are `fan_in` at most. Only digests and
-ids are shuffled, never texts.
+more than its share: entries for a digest that come together are `fan_in` at most. The rounds shuffle
+digests and ids alone; where rows then meet their group, the columns that the result reads go along,
+the text only if it is one of them.
 
 An entry is verified by carrying, besides SHA-256, an independent 64-bit hash and the length of
 the text: entries merge only when all three agree, at every level.
@@ -46,7 +47,7 @@ def merge_runs(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", k
     for r in range(rounds):
         digit = lambda c, place=fan_in**r: F.pmod(F.floor(c / place), F.lit(fan_in))
         mine, wants = digit(F.col("_run")), digit(F.pmod("_h64", F.lit(runs)))
-        dealt = level.withColumn("_run", (F.col("_run") + (wants - mine) * fan_in**r).cast("long")).repartition(runs, "_run")
+        dealt = level.withColumn("_run", (F.col("_run") + (wants - mine) * fan_in**r).cast("long")).repartitionById(runs, F.col("_run").cast("int"))
         level = (
             dealt.sortWithinPartitions("_run", *KEY, order).select("*", F.row_number().over(group.orderBy(order)).alias("_place"), F.sum("_rows").over(group).alias("_sum"))
             .where("_place = 1").select("_run", *KEY, "_keep", F.col("_sum").alias("_rows"))
@@ -66,11 +67,11 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     """
     groups = merge_runs(docs, id_col=id_col, text=text, keep=keep, runs=runs, fan_in=fan_in)
     names = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    rows = docs.select(F.struct(*names).alias("_row"), F.col(id_col).alias("_id"), *digests(docs, text))
+    kept = {c: f"_c{i}" for i, c in enumerate(names)}  # names apart from the join's own; those that nothing reads are pruned
+    rows = docs.select(*[F.col(c).alias(k) for c, k in kept.items()], F.col(id_col).alias("_id"), *digests(docs, text))
     found = by_group(rows, groups.withColumnRenamed("_rows", "n"), KEY, "_id", docs.count())
-    names = [F.col("_row").getField(c).alias(c) for c in names]
     return found.select(
-        *names,
+        *[F.col(k).alias(c) for c, k in kept.items()],
         F.col("_found._keep").alias("keep_id"),
         F.col("_found.n").alias("group_size"),
         F.col("_id").eqNullSafe(F.col("_found._keep")).alias("kept"),

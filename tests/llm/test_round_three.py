@@ -207,3 +207,10 @@ def test_count_query(spark, odd, odd_rows, counter, tmp_path):
     got = registry.QUERIES["op12_token_counts"](spark, str(tmp_path))
     assert dict(got.dtypes) == {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"}
     assert sorted(((r["doc_id"], r["n_tokens"], r["over_limit"]) for r in got.collect()), key=str) == sorted(((i, n := library(counter, t or ""), n > 2048) for i, t, *_ in odd_rows), key=str)
+
+
+def test_exact_dedup_shuffles_no_text(spark, odd, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = registry.QUERIES["op10_exact_dedup"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    joins = plan[: plan.rindex("Join")]
+    assert "text#" not in joins and "sha2" in plan[len(joins) :]
