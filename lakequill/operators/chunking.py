@@ -17,7 +17,7 @@ from lakequill.params import DEFAULT
 SEPARATORS = ("\n\n\n", "\n\n", "\n", ". ", "! ", "? ", "; ", ": ", ", ", " ", "")
 CJK = re.compile("[一-鿿぀-ゟ゠-ヿ가-힯]")
 TABLE = re.compile(r"\[Table \d+ on page \d+\]")
-JS_START = re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\b|class\b|(?:const|let|var)\s+\w+\s*=\s*(?:async\s*)?(?:function\b|\())", re.MULTILINE)
+JS_START = re.compile(r"^(?:export\s+)?(?:(?:async\s+)?(?:function|class)\s+\w|const\s+\w+\s*=\s*(?:async\s*)?\()", re.MULTILINE)
 
 
 def by_characters(text: str, size: int, overlap: int) -> list[str]:
@@ -69,9 +69,9 @@ def split_table(table: str, most: int) -> list[str]:
 
 
 def split_with_tables(text: str, size: int, overlap: int, table_size: int) -> list[str]:
-    """Each table from its marker to the blank line after it, the text between as usual."""
+    """Each table from its marker to the next one or the end, the text before the first as usual."""
     out, at = [], 0
-    for m in re.finditer(r"\[Table \d+ on page \d+\].*?(?=\[Table \d+ on page \d+\]|\n\n|\Z)", text, re.DOTALL):
+    for m in re.finditer(r"\[Table \d+ on page \d+\].*?(?=\[Table \d+ on page \d+\]|\Z)", text, re.DOTALL):
         out += by_separators(text[at : m.start()].strip(), size, overlap)
         out += split_table(m[0].strip(), table_size)
         at = m.end()

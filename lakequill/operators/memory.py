@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakequill.operators import search, similarity
 from lakequill.operators.vector_index import has_angle
 from lakequill.params import DEFAULT
+from lakequill.session import stored
 
 
 def recall(memories: DataFrame, query: Column, *, scopes: list | None = None, scope: str = "workspace_id", k: int = 3, floor: float = 0.55, id_col: str = "id") -> DataFrame:
@@ -34,6 +35,25 @@ def new_only(incoming: DataFrame, known: DataFrame, *, vector: str = "embedding"
     return fresh.select(*incoming.columns).unionAll(blank)
 
 
+def retrieve(memories: DataFrame, queries: DataFrame, now: Column, *, k: int = 3, floor: float = 0.55, id_col: str = "id", scope: str = "workspace_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """Memories for a batch of queries, and the table of memories with their use counted.
+
+    queries: query_id, qv and scopes (array; null or empty: all). Found: query_id, rank, similarity
+    and the memory's columns but its vector, the k nearest live ones with similarity of floor or
+    more. A memory that several queries find is used once for each.
+    """
+    from lakequill.operators.vector_index import nearest
+
+    live = memories.where("deleted_at IS NULL") if "deleted_at" in memories.columns else memories
+    asked = queries.where("scopes IS NOT NULL AND size(scopes) > 0").select("query_id", F.explode(F.array_distinct("scopes")).alias(scope))
+    near = nearest(live, queries, k=k, floor=floor, id_col=id_col, vector=vector, by=scope).drop("rank")
+    scoped = near.join(live.select(id_col, scope), id_col).join(asked.withColumn("_in", F.lit(True)), ["query_id", scope], "left")
+    free = queries.select("query_id", F.coalesce(F.size("scopes") <= 0, F.lit(True)).alias("_all"))
+    best = search.top_k(scoped.join(free, "query_id").where("_all OR _in").select("query_id", id_col, "similarity"), k, "similarity", id_col, ["query_id"])
+    found = stored(best, "memories-found")
+    return found.join(live.drop(vector), id_col), used(memories, found, now, id_col)
+
+
 def transcript(turns: DataFrame, *, conv: str, turn: str, role: str, text: str, last: int = 20, most: int = 500) -> DataFrame:
     """conv, transcript: the last turns of a conversation, each cut to most characters, a line each."""
     newest = Window.partitionBy(conv).orderBy(F.col(turn).desc())

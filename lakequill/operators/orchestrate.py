@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakequill.operators import graph
+from lakequill.session import stored
 
 
 def graph_expanded(queries: DataFrame, mentions: DataFrame, edges: DataFrame, *, most: int = 5) -> DataFrame:
@@ -17,21 +18,21 @@ def graph_expanded(queries: DataFrame, mentions: DataFrame, edges: DataFrame, *,
     return queries.join(names, "query_id", "left").withColumn("query", F.concat_ws(" ", "query", "_names")).drop("_names")
 
 
-def job_matrix(queries: DataFrame, tools: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """query_id, tool, seq, status and the rows of each tool for the queries that ask for it.
+def job_matrix(queries: DataFrame, tools: dict[str, Callable[[DataFrame], DataFrame]], *, retries: int | None = None, most: int | None = None) -> DataFrame:
+    """query_id, tool, result, status and the rows of each tool for the queries that ask for it.
 
     queries: query_id, query, tools (array). A tool that isn't known gives one row with the status
-    unknown; one that finds nothing, one row with the status empty.
+    unknown; one that finds nothing, one row with the status empty. With retries, each tool runs by
+    itself and its rows are stored: one that fails is tried so many times again, and then gives each
+    of its queries a row with the status failed and the error as result; the others aren't
+    disturbed. most: rows of a query and tool that are kept, in the order of seq, if the tool gives one.
     """
     jobs = queries.select("query_id", "query", F.explode("tools").alias("tool"))
     parts = []
     for name, run in tools.items():
         mine = jobs.where(F.col("tool") == name)
-        found = run(mine.select("query_id", "query"))
-        rest = [c for c in found.columns if c != "query_id"]
-        row = F.to_json(F.struct(*rest))
-        got = found.select("query_id", row.alias("result"))
-        parts.append(mine.join(got, "query_id", "left").select("query_id", "tool", "result", F.when(F.col("result").isNull(), "empty").otherwise("ok").alias("status")))
+        attempt = lambda run=run, mine=mine: answered(mine, run(mine.select("query_id", "query")), most)
+        parts.append(attempt() if retries is None else tried(attempt, mine, retries))
     unknown = jobs.where(~F.col("tool").isin(list(tools))).select("query_id", "tool", F.lit(None).cast("string").alias("result"), F.lit("unknown").alias("status"))
     out = unknown
     for p in parts:
@@ -39,6 +40,30 @@ def job_matrix(queries: DataFrame, tools: dict[str, Callable[[DataFrame], DataFr
     return out
 
 
+def answered(mine: DataFrame, found: DataFrame, most: int | None) -> DataFrame:
+    if most is not None:
+        order = Window.partitionBy("query_id").orderBy("seq" if "seq" in found.columns else F.to_json(F.struct(*found.columns)))
+        found = found.withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= most).drop("_no")
+    got = found.select("query_id", F.to_json(F.struct(*[c for c in found.columns if c != "query_id"])).alias("result"))
+    return mine.join(got, "query_id", "left").select("query_id", "tool", "result", F.when(F.col("result").isNull(), "empty").otherwise("ok").alias("status"))
+
+
+def tried(attempt: Callable[[], DataFrame], mine: DataFrame, retries: int) -> DataFrame:
+    error = ""
+    for _ in range(retries + 1):
+        try:
+            return stored(attempt(), "job")
+        except Exception as e:  # a tool that fails is a row, not the end of the others
+            error = str(e).split("\n")[0][:500]
+    return mine.select("query_id", "tool", F.lit(error).alias("result"), F.lit("failed").alias("status"))
+
+
+def trace(jobs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, tool, status, rows and the query's first 100 characters, a row for each job."""
+    n = jobs.groupBy("query_id", "tool", "status").agg(F.count("result").alias("rows"))
+    return n.join(queries.select("query_id", F.substring("query", 1, 100).alias("query")), "query_id")
+
+
 def outcome(jobs: DataFrame) -> DataFrame:
     """query_id, partial: some tools answered and some failed."""
     return jobs.groupBy("query_id").agg(((F.count_if(F.col("status") == "ok") > 0) & (F.count_if(F.col("status") != "ok") > 0)).alias("partial"))

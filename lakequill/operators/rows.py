@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of old with the values of new that aren't null, and the rows that only new has."""
+def upsert(old: DataFrame, new: DataFrame, key: list[str], *, clear: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of old with the values of new that aren't null, and the rows that only new has. In the columns of clear, a null of new counts too."""
     values = [c for c in old.columns if c not in key]
-    fresh = new.select(*key, *[F.col(c).alias(f"_new_{c}") for c in values])
-    return old.join(fresh, key, "full_outer").select(*key, *[F.coalesce(f"_new_{c}", c).alias(c) for c in values])
+    fresh = new.select(*key, *[F.col(c).alias(f"_new_{c}") for c in values], F.lit(True).alias("_there"))
+    value = lambda c: F.when(F.col("_there").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(c)) if c in clear else F.coalesce(f"_new_{c}", c)
+    return old.join(fresh, key, "full_outer").select(*key, *[value(c).alias(c) for c in values])
 
 
 def insert_chunks(existing: DataFrame, new: DataFrame, document: str, index: str) -> DataFrame:
-    """existing and new chunks together; the id of a new one is a digest of its document and index, so that writing twice gives the same ids."""
-    added = new.withColumn("chunk_id", F.md5(F.concat_ws(":", document, index)))
+    """existing and new chunks together; the id of a new one is a digest of its document and index, so that writing twice gives the same ids. Of new ones that repeat an id one is kept."""
+    added = new.withColumn("chunk_id", F.md5(F.concat_ws(":", document, index))).dropDuplicates(["chunk_id"])
     return existing.unionByName(added.join(existing.select("chunk_id"), "chunk_id", "left_anti").select(*existing.columns))
 
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Document types by extension.
@@ -188,19 +188,44 @@ LOG_FIELDS = ("timestamp", "logger", "level", "place", "message")
 LOG_LINE = "^" + " - ".join([r"(\d{4}(?:(?! - ).)*)", *[r"((?:(?! - ).)*)"] * 3, "(.*)"]) + "$"
 
 
-def log_records(lines: DataFrame, line: str = "value") -> DataFrame:
-    """timestamp, level, logger, message, parsed and raw of log lines, JSON or text; blank lines go.
+def log_records(lines: DataFrame, line: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
+    """timestamp, level, logger, message, parsed and raw of log lines, JSON or text, and carried columns; blank lines go.
 
     A text line of another shape than LOG_LINE is its own message.
     """
     record = F.when(F.trim(line).startswith("{"), F.from_json(line, "map<string,string>"))
-    rows = lines.where(F.trim(line) != "").select(F.col(line).alias("raw"), record.alias("json"), F.regexp_replace(line, "\x1b\\[[0-9;]*m", "").alias("text"))
+    rows = lines.where(F.trim(line) != "").select(*carry, F.col(line).alias("raw"), record.alias("json"), F.regexp_replace(line, "\x1b\\[[0-9;]*m", "").alias("text"))
     named = F.coalesce(*[F.when(F.col("text").contains(f" - {x} - "), F.lit(x)) for x in LEVELS])
     rows = rows.withColumn("named", named).withColumn("fits", F.regexp_extract("text", LOG_LINE, LOG_FIELDS.index("level") + 1).eqNullSafe(F.col("named")))
     of_text = {f: F.when(F.col("fits"), F.regexp_extract("text", LOG_LINE, k)) for k, f in enumerate(LOG_FIELDS, 1)}
     of_text |= {"level": F.col("named"), "message": F.coalesce(of_text["message"], "text")}
     field = lambda f: F.when(F.col("json").isNotNull(), F.col("json")[f]).otherwise(of_text[f]).alias(f)
-    return rows.select(*map(field, ("timestamp", "level", "logger", "message")), F.col("json").isNotNull().alias("parsed"), "raw")
+    return rows.select(*carry, *map(field, ("timestamp", "level", "logger", "message")), F.col("json").isNotNull().alias("parsed"), "raw")
+
+
+MOST_LINES = 2000  # of a log that a tail shows
+
+
+def log_tail(spark: SparkSession, path: str, *, limit: int = 200, level: str | None = None, contains: str | None = None) -> DataFrame:
+    """no, and the columns of log_records, of the last `limit` lines of a log, newest last.
+
+    With a filter, the last ten times as many lines are looked through, so fewer rows may come out.
+    Level and text are compared without regard to case. Lines have the order of the files' times,
+    names and bytes. Blank lines count as lines and give no row.
+    """
+    limit = max(1, min(limit, MOST_LINES))
+    scan = 10 * limit if level or contains else limit
+    meta = [F.col(f"_metadata.{c}").alias(c) for c in ("file_modification_time", "file_path", "file_block_start")]
+    lines = spark.read.text(path).select("value", *meta, F.monotonically_increasing_id().alias("_in"))
+    order = ["file_modification_time", "file_path", "file_block_start", "_in"]
+    last = lines.orderBy(*[F.desc(c) for c in order]).limit(scan)  # each task keeps as many rows
+    placed = last.withColumn("no", F.row_number().over(Window.orderBy(*order)))  # scan rows at most
+    rows = log_records(placed, carry=("no",))
+    if level:
+        rows = rows.where(F.col("level") == level.upper())
+    if contains:
+        rows = rows.where(F.lower("raw").contains(contains.lower()))
+    return rows.orderBy(F.desc("no")).limit(limit).orderBy("no")
 
 
 def safe_url(url: Column) -> Column:
