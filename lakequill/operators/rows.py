@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakequill.operators.joins import with_group
+from lakequill.session import stored
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], *, clear: tuple[str, ...] = ()) -> DataFrame:
     """Rows of old with the values of new that aren't null, and the rows that only new has. In the columns of clear, a null of new counts too."""
@@ -83,13 +86,35 @@ def final_order(found: DataFrame, *, filename: str = "filename", index: str = "c
     return out if most is None else out.limit(most)
 
 
+ACCURACY = 10_000  # of the sketch that brackets a percentile
+SMALL = 10 * ACCURACY  # groups up to this many rows are their own bracket
+
+
 def nearest_rank(df: DataFrame, by: list[str], value: str, percents: tuple[float, ...]) -> DataFrame:
-    """The value at rank round(p / 100 * n), half to even, between 1 and n; one column p<percent> each. Nulls don't count."""
-    rows = df.where(F.col(value).isNotNull())
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    ranked = rows.select(*by, value, n.alias("_n"), F.row_number().over(Window.partitionBy(*by).orderBy(value)).alias("_rank"))
-    at = lambda p: F.least(F.col("_n"), F.greatest(F.lit(1), F.bround(F.col("_n") * p / 100, 0).cast("long")))
-    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_rank") == at(p), F.col(value))).alias(f"p{p:g}") for p in percents])
+    """The value at rank round(p / 100 * n), half to even, between 1 and n; one column p<percent> each. Nulls don't count.
+
+    A mergeable sketch brackets each percentile; what lies below is counted, and only the values
+    within are put in order, as counts. So no task sorts a large group.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, value, F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("_g"))
+    margin = 2 / ACCURACY
+    shares = [max(0.0, min(1.0, p / 100 + side)) for p in percents for side in (-margin, margin)]
+    stats = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"), F.percentile_approx(value, shares, ACCURACY).alias("_q"))
+    small = F.col("_n") <= SMALL
+    edge = lambda k, side, end: F.when(small | F.lit(end), F.col(side)).otherwise(F.element_at("_q", k + 1))
+    brackets = F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), F.least(F.col("_n"), F.greatest(F.lit(1), F.bround(F.col("_n") * p / 100, 0).cast("long"))).alias("rank"),
+            edge(2 * i, "_min", shares[2 * i] <= 0).alias("lo"), edge(2 * i + 1, "_max", shares[2 * i + 1] >= 1).alias("hi"))
+        for i, p in enumerate(percents)])
+    stats = stored(stats.select("_g", "_n", brackets.alias("_b")), "rank-brackets")
+    met = with_group(rows, stats, ["_g"], value, "_n", rows.count())
+    each = met.select(*by, "_g", value, F.explode("_b").alias("b")).where(F.col(value) <= F.col("b.hi"))
+    # values below a bracket count as one
+    counts = each.groupBy(*by, "_g", "b", F.when(F.col(value) >= F.col("b.lo"), F.col(value)).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_g", "b.i").orderBy(F.asc_nulls_first("_v")))
+    reached = counts.withColumn("_upto", upto).where(F.col("_v").isNotNull() & (F.col("_upto") >= F.col("b.rank")))
+    return reached.groupBy(*by).agg(*[F.min(F.when(F.col("b.i") == i, F.col("_v"))).alias(f"p{p:g}") for i, p in enumerate(percents)])
 
 
 def answer_chunks(answers: DataFrame, sources: str, stats: DataFrame, chunk: str) -> DataFrame:

@@ -9,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakequill.functions import text as T
-from lakequill.operators import memory, ranker, search, similarity, term_index, tools
+from lakequill.operators import chunking, graph, memory, orchestrate, ranker, rows, search, similarity, term_index, tools
 from lakequill.operators.joins import with_group
 from lakequill.operators.term_index import TermIndex
 from lakequill.operators.vector_index import VectorIndex
-from lakequill.sources import listing, pages
+from lakequill.sources import files, listing, pages
 from lakequill.sources.versions import Conflict, VersionedTables, replace_documents
 from lakequill.streaming import stateful
 
@@ -355,3 +355,86 @@ def test_ranker(spark):
     texts = spark.createDataFrame([("red fish", "a red fish swims"), ("red fish", None)], "query string, chunk_text string")
     scores = [r["rerank_score"] for r in ranker.reranked(texts, [1.0, 0.0, 0.0, 0.0]).collect()]
     assert scores == [1.0, 0.0]
+
+
+# the rest
+def test_known_names(spark):
+    docs = spark.createDataFrame([(1, "New York, New York; York. Yorkshire newNew Yorks"), (2, None), (3, ""), (4, "C++ and C")], "id long, text string")
+    names = spark.createDataFrame([("New York", "GPE"), ("York", "GPE"), ("York", "EVENT"), ("C++", "PRODUCT"), ("x", "ORG"), ("and", "DATE")], "name string, type string")
+    assert rows_of(graph.extract_known(docs, names, id_col="id", text="text")) == [(1, "New York", "GPE", 2), (1, "York", "EVENT", 1), (4, "C++", "PRODUCT", 1)]
+    assert graph.extract_known(docs, names.limit(0), id_col="id", text="text").count() == 0
+
+
+def test_memories_for_queries(spark):
+    memories = spark.createDataFrame([(1, "w", [1.0, 0.0], 2, None), (2, "w", [0.9, 0.1], 0, None), (3, "v", [1.0, 0.0], 0, None), (4, "w", [1.0, 0.0], 0, "gone")], "id long, workspace_id string, embedding array<double>, use_count long, deleted_at string")
+    memories = memories.withColumn("last_used", F.lit(None).cast("timestamp"))
+    queries = spark.createDataFrame([(1, [1.0, 0.0], ["w"]), (2, [1.0, 0.0], None), (3, [0.0, 1.0], [])], "query_id long, qv array<double>, scopes array<string>")
+    found, after = memory.retrieve(memories, queries, F.lit("2026-01-01").cast("timestamp"), k=2)
+    assert rows_of(found.select("query_id", "id")) == [(1, 1), (1, 2), (2, 1), (2, 3)] and "embedding" not in found.columns
+    assert rows_of(after.select("id", "use_count", F.col("last_used").isNotNull())) == [(1, 4, True), (2, 1, True), (3, 1, True), (4, 0, False)]
+
+
+def test_job_matrix_survives_a_tool(spark):
+    queries = spark.createDataFrame([(1, "a" * 200, ["ok", "bad", "none"]), (2, "b", ["ok"])], "query_id long, query string, tools array<string>")
+    calls = []
+
+    def bad(q):
+        calls.append(1)
+        return q.select("query_id", F.raise_error(F.lit("no line")).alias("x"))
+
+    found = {"ok": lambda q: q.where("query_id = 1").select("query_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("seq")), "bad": bad}
+    jobs = orchestrate.job_matrix(queries, found, retries=2, most=3)
+    got = rows_of(jobs.groupBy("query_id", "tool", "status").count())
+    assert got == [(1, "bad", "failed", 1), (1, "none", "unknown", 1), (1, "ok", "ok", 3), (2, "ok", "empty", 1)] and len(calls) == 3
+    assert {len(r["query"]) for r in orchestrate.trace(jobs, queries).collect()} == {100, 1}
+    assert rows_of(orchestrate.outcome(jobs)) == [(1, True), (2, False)]
+
+
+def test_log_tail(spark, tmp_path):
+    lines = [f"2026-01-01 00:00:{i:02} - app - {'ERROR' if i % 5 == 0 else 'INFO'} - run:{i} - line {i}" for i in range(40)] + ["", '{"level": "ERROR", "message": "Json LINE"}']
+    (tmp_path / "app.log").write_text("\n".join(lines))
+    path = f"file://{tmp_path}/app.log"
+    assert [r["message"] for r in files.log_tail(spark, path, limit=4).collect()] == ["line 38", "line 39", "Json LINE"]
+    assert [r["message"] for r in files.log_tail(spark, path, limit=2, level="error").collect()] == ["line 35", "Json LINE"]
+    assert [r["message"] for r in files.log_tail(spark, path, limit=1, contains="LINE 3").collect()] == ["line 39"]
+    assert files.log_tail(spark, path, limit=1, contains="line 1").count() == 0  # beyond the last ten lines
+
+
+def test_rows_cleared_and_kept_once(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k long, v string, w string")
+    new = spark.createDataFrame([(1, None, None), (3, "c", None)], old.schema)
+    assert rows_of(rows.upsert(old, new, ["k"], clear=("w",))) == [(1, "a", None), (2, "b", "y"), (3, "c", None)]
+    there = spark.createDataFrame([], "chunk_id string, d long, i long")
+    assert rows.insert_chunks(there, spark.createDataFrame([(1, 0), (1, 0), (1, 1)], "d long, i long"), "d", "i").count() == 2
+
+
+def test_tables_end_at_the_next_marker():
+    text = "before " * 200 + "\n\n[Table 1 on page 1]\na | b\n\nc | d\n[Table 2 on page 2]\ne | f"
+    assert chunking.chunk_text(text)[-2:] == ["[Table 1 on page 1]\na | b\n\nc | d", "[Table 2 on page 2]\ne | f"]
+    assert len(chunking.chunk_js("let a = function () { return 1 }\nexport async function foo() {}\nconst b = async (x) => x\nclass Bar {}\n")) == 4
+
+
+def test_hybrid_by_workspace(spark):
+    """Copies of one file and index in two workspaces are one result; results come in reading order; a learned score is mixed in."""
+    texts = [("alpha beta gamma " * 20, "a"), ("alpha delta " * 20, "b"), ("nothing here " * 20, "c")]
+    chunks = spark.createDataFrame([(i + 10 * w, f"{n}.txt", 0, t, [1.0, float(i)], w) for w in (0, 1) for i, (t, n) in enumerate(texts)], "chunk_id long, filename string, chunk_index int, chunk_text string, embedding array<double>, workspace long")
+    queries = spark.createDataFrame([(1, "alpha", [1.0, 0.0])], "query_id long, query string, qv array<double>")
+    got = search.hybrid_search(chunks, queries, workspace="workspace").orderBy("place").collect()
+    assert [(r["place"], r["filename"], r["chunk_id"]) for r in got] == [(1, "a.txt", 10), (2, "b.txt", 11), (3, "c.txt", 12)]
+    mixed = search.hybrid_search(chunks, queries, workspace="workspace", weights=[1.0, 0.0, 0.0, 0.0]).orderBy("place").collect()
+    assert mixed[0]["combined_score"] > mixed[2]["combined_score"] and mixed[0]["combined_score"] != got[0]["combined_score"]
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_nearest_rank(spark, monkeypatch, small):
+    """With brackets from the sketch, and without; null groups, ties, one value, nulls."""
+    monkeypatch.setattr(rows, "SMALL", small)
+    monkeypatch.setattr(rows, "ACCURACY", 100)
+    rng = random.Random(9)
+    data = [(k, rng.randint(0, 400) / 4) for k in ("a", "b", None) for _ in range(700)] + [("c", 1.0), ("c", None), ("d", None)]
+    got = {r["k"]: tuple(r)[1:] for r in rows.nearest_rank(spark.createDataFrame(data, "k string, v double"), ["k"], "v", (0.0, 12.5, 50.0, 99.0, 100.0)).collect()}
+    want = {}
+    for k in ("a", "b", None, "c"):
+        v = sorted(x for g, x in data if g == k and x is not None)
+        want[k] = tuple(v[min(len(v), max(1, round(p / 100 * len(v)))) - 1] for p in (0.0, 12.5, 50.0, 99.0, 100.0))
+    assert got == want
