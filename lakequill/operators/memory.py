@@ -62,9 +62,10 @@ def transcript(turns: DataFrame, *, conv: str, turn: str, role: str, text: str,
     return kept.groupBy(conv).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(turn, line.alias("l")))), lambda x: x["l"]), "\n").alias("transcript"))
 
 
-def prompt(memories: DataFrame, *, kind: str = "memory_type", content: str = "content", order: str = "id") -> DataFrame:
+def prompt(memories: DataFrame, *, kind: str = "memory_type", content: str = "content", order: str = "id", by: list[str] | None = None) -> DataFrame:
+    """prompt: a header and a line a memory, in order; one text for each group of by. For the few memories that a search finds."""
     lines = F.array_sort(F.collect_list(F.struct(order, F.concat(F.lit("["), F.upper(kind), F.lit("] "), content).alias("l"))))
-    return memories.agg(F.concat(F.lit("Relevant memories:\n"), F.array_join(F.transform(lines, lambda x: x["l"]), "\n")).alias("prompt"))
+    return memories.groupBy(*(by or [])).agg(F.concat(F.lit("Relevant memories:\n"), F.array_join(F.transform(lines, lambda x: x["l"]), "\n")).alias("prompt"))
 
 
 def due(conversations: DataFrame) -> DataFrame:

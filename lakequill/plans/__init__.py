@@ -1,6 +1,6 @@
 """All named queries."""
 
-from lakequill.plans import indexes, learned, paged, relational, retrieval, rows, stateful
+from lakequill.plans import documents, indexes, learned, paged, relational, retrieval, rows, stateful
 from lakequill.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "indexes", "learned", "paged", "relational", "retrieval", "rows", "stateful"]
+__all__ = ["QUERIES", "SQL", "documents", "indexes", "learned", "paged", "relational", "retrieval", "rows", "stateful"]

@@ -49,6 +49,12 @@ def ingest(stream: DataFrame, into: str, checkpoint: str, *, key: str = "content
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_once(stream: DataFrame, into: str, checkpoint: str, *, key: str = "content_hash") -> StreamingQuery:
+    """Append each key's first row to the Parquet table at `into`. The keys seen are kept as state, so no batch reads the table; null keys are one key."""
+    rows = stream.dropDuplicates([key])
+    return rows.writeStream.format("parquet").option("path", into).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def changes(spark: SparkSession, current: DataFrame, state: str, *, key: str, version: str) -> DataFrame:
     """One poll of a source: events against the listing kept at `state` (empty before the first poll)."""
     try:

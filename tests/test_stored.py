@@ -15,7 +15,7 @@ from lakequill.operators.term_index import TermIndex
 from lakequill.operators.vector_index import VectorIndex
 from lakequill.sources import files, listing, pages
 from lakequill.sources.versions import Conflict, VersionedTables, replace_documents
-from lakequill.streaming import stateful
+from lakequill.streaming import stateful, streams
 
 
 def rows_of(df):
@@ -249,6 +249,15 @@ def test_sync_log(spark, tmp_path):
     assert log() == [("s", 2, 0, 1, True), ("s", 0, 1, 0, True)] and spark.read.parquet(f"{tmp_path}/out").count() == 4
 
 
+def test_ingest_once(spark, tmp_path):
+    """Keys are kept over a restart; the second run reads only what is new."""
+    schema, out = "content_hash string, v long", f"{tmp_path}/out"
+    for no, rows_ in enumerate([[("a", 1), ("a", 1), ("b", 2)], [("b", 9), ("c", 3), (None, 4), (None, 4)]]):
+        feed(spark, f"{tmp_path}/src", no, rows_, schema)
+        streams.ingest_once(stream_of(spark, f"{tmp_path}/src", schema), out, f"{tmp_path}/check").awaitTermination()
+    assert rows_of(spark.read.parquet(out)) == [("a", 1), ("b", 2), ("c", 3), (None, 4)]
+
+
 def test_listing_source(spark, tmp_path):
     src = tmp_path / "src"
     (src / "sub" / "deep").mkdir(parents=True)
@@ -371,6 +380,8 @@ def test_memories_for_queries(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.0], ["w"]), (2, [1.0, 0.0], None), (3, [0.0, 1.0], [])], "query_id long, qv array<double>, scopes array<string>")
     found, after = memory.retrieve(memories, queries, F.lit("2026-01-01").cast("timestamp"), k=2)
     assert rows_of(found.select("query_id", "id")) == [(1, 1), (1, 2), (2, 1), (2, 3)] and "embedding" not in found.columns
+    named = found.withColumn("memory_type", F.lit("fact")).withColumn("content", F.concat(F.lit("m"), "id"))
+    assert rows_of(memory.prompt(named, by=["query_id"])) == [(1, "Relevant memories:\n[FACT] m1\n[FACT] m2"), (2, "Relevant memories:\n[FACT] m1\n[FACT] m3")]
     assert rows_of(after.select("id", "use_count", F.col("last_used").isNotNull())) == [(1, 4, True), (2, 1, True), (3, 1, True), (4, 0, False)]
 
 
