@@ -373,6 +373,18 @@ def embedding_cache_keys(t):
     return t.documents.where("text IS NOT NULL").select("doc_id", F.sha2(F.concat(F.lit("default:"), "text").cast("binary"), 256).alias("cache_key"))
 
 
+@query(f"""WITH pieces AS ({CHARS}), words AS (SELECT doc_id, chunk_index, unnest(CASE WHEN len(regexp_extract_all(lower(chunk_text), '[a-z0-9]+')) = 0 THEN [''] ELSE regexp_extract_all(lower(chunk_text), '[a-z0-9]+') END) AS w FROM pieces),
+codes AS (SELECT w, CASE WHEN w = '' THEN 0 ELSE {crc_sql("w")} % {DIM} END AS place FROM (SELECT DISTINCT w FROM words)),
+counts AS (SELECT doc_id, chunk_index, place, count(*) AS c FROM words JOIN codes USING (w) GROUP BY ALL)
+SELECT doc_id, chunk_index, place::INT AS place, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id, chunk_index)), 6) AS value FROM counts""")
+def chunk_embeddings(t):
+    """The embedding of every chunk, where it isn't 0; each distinct text goes to the model once."""
+    from lakequill.operators import orchestrate
+
+    made = orchestrate.embedded(chunking.char_chunks(t.documents), lambda c: V.hashed(c, DIM), text="chunk_text")
+    return made.select("doc_id", "chunk_index", F.posexplode("embedding").alias("place", "value")).where("value <> 0").withColumn("value", F.round("value", 6))
+
+
 @query()
 def embedded_chunks(t):
     """Every distinct chunk embedded once, by the deterministic stand-in for a model."""
@@ -381,7 +393,7 @@ def embedded_chunks(t):
     return orchestrate.embedded(chunking.char_chunks(t.documents), lambda c: V.embed(c, 32), text="chunk_text").select("doc_id", "chunk_index", F.array_join("embedding", ",").alias("embedding"))
 
 
-@query()
+@query(r"""SELECT doc_id, name, 'ORG' AS type FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+'))) AS name FROM documents) WHERE length(name) BETWEEN 2 AND 200""")
 def entity_mentions(t):
     from lakequill.operators import graph
 
