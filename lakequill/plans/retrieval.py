@@ -135,24 +135,21 @@ def retrieved(t):
     return stored(search.hybrid_search(chunk_table(t), asked_queries(t), workspace="workspace"), "retrieved")
 
 
-def hybrid_sql() -> str:
-    """hybrid_search by stages in SQL: arms per workspace, blend, membership, merge, diversity, signals, rank, adjacency, order."""
+def hybrid_sql(inputs: str, vectors: str) -> str:
+    """hybrid_search by stages in SQL: arms per workspace, blend, membership, diversity, signals, rank, adjacency, order.
+
+    Halves are rounded by a number's shortest digits, as Spark does.
+    inputs: chunks (chunk_id, filename, chunk_index, chunk_text, workspace) and q (query_id, query); vectors: sims (query_id, chunk_id, sim).
+    """
     top = lambda score: f"row_number() OVER (PARTITION BY query_id, workspace ORDER BY {score} DESC, chunk_id) <= 60"
-    code = crc_sql("w")
-    counted = lambda key, rows: f"SELECT {key}, coalesce(b, 0) AS b, count(*) AS c FROM (SELECT {key}, unnest(CASE WHEN len(regexp_extract_all(lower(x), '[a-z0-9]+')) = 0 THEN [''] ELSE regexp_extract_all(lower(x), '[a-z0-9]+') END) AS w FROM {rows}) LEFT JOIN codes USING (w) GROUP BY ALL"
     words = WORDS.format("chunk_text")
     boost = f"""len(list_intersect({WORDS.format('query')}, {words}))::DOUBLE / len({WORDS.format('query')}) * 0.05::DOUBLE + greatest(0, 0.03::DOUBLE - 0.002::DOUBLE * chunk_index)
   + CASE WHEN length(chunk_text) BETWEEN 200 AND 800 THEN 0.02 WHEN length(chunk_text) < 100 THEN -0.02 ELSE 0 END::DOUBLE"""
     walk = lambda name, rows, near, most: f"""{name}(query_id, no, ids) AS (SELECT DISTINCT query_id, 0::BIGINT, []::BIGINT[] FROM {rows}
   UNION ALL SELECT s.query_id, r.no, CASE WHEN len(s.ids) >= {most} OR list_has_any(s.ids, r.{near}) THEN s.ids ELSE list_append(s.ids, r.no) END FROM {name} s JOIN {rows} r ON r.query_id = s.query_id AND r.no = s.no + 1)"""
-    return f"""WITH RECURSIVE pieces AS ({CHARS}),
-chunks AS (SELECT doc_id * 1000000 + chunk_index AS chunk_id, 'doc_' || doc_id || '.txt' AS filename, chunk_index, chunk_text, doc_id % 2 AS workspace FROM pieces),
-q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE text IS NOT NULL),
-codes AS MATERIALIZED (SELECT w, {code} % {DIM} AS b FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) AS w FROM (SELECT chunk_text AS x FROM chunks UNION ALL SELECT query FROM q))),
-cv AS MATERIALIZED ({counted('chunk_id', '(SELECT chunk_id, chunk_text AS x FROM chunks)')}), qv AS MATERIALIZED ({counted('query_id', '(SELECT query_id, query AS x FROM q)')}),
-cn AS (SELECT chunk_id, sqrt(sum(c * c)) AS n FROM cv GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(c * c)) AS n FROM qv GROUP BY 1),
-dots AS (SELECT query_id, chunk_id, sum(qv.c * cv.c) AS d FROM qv JOIN cv USING (b) GROUP BY 1, 2),
-sem AS (SELECT query_id, chunk_id, workspace, sim FROM (SELECT query_id, chunk_id, round(d / (qn.n * cn.n), 6) AS sim FROM dots JOIN qn USING (query_id) JOIN cn USING (chunk_id)) JOIN chunks USING (chunk_id) WHERE sim >= 0.30 QUALIFY {top('sim')}),
+    return f"""WITH RECURSIVE {inputs},
+{vectors},
+sem AS (SELECT query_id, chunk_id, workspace, sim FROM sims JOIN chunks USING (chunk_id) WHERE sim >= 0.30 QUALIFY {top('sim')}),
 terms AS (SELECT query_id, unnest(list_distinct({LEX.replace('lower(text)', 'lower(query)')})) AS term FROM q),
 places AS MATERIALIZED (SELECT chunk_id, unnest({LEX.replace('lower(text)', 'lower(chunk_text)')}) AS term, generate_subscripts({LEX.replace('lower(text)', 'lower(chunk_text)')}, 1) AS p FROM chunks),
 have AS (SELECT query_id, chunk_id, count(DISTINCT term) AS n FROM terms JOIN (SELECT DISTINCT chunk_id, term FROM places) USING (term) GROUP BY 1, 2),
@@ -162,7 +159,7 @@ lows AS (SELECT query_id, chunk_id, n, p, count(*) AS seen, min(last) AS low FRO
 covers AS (SELECT query_id, chunk_id, sum(0.1::DOUBLE / (1 + greatest(p - low - (n - 1), 0))) AS r FROM (SELECT *, lag(low) OVER (PARTITION BY query_id, chunk_id ORDER BY p) AS before FROM lows WHERE seen = n) WHERE before IS DISTINCT FROM low GROUP BY 1, 2),
 lex AS (SELECT query_id, chunk_id, workspace, s FROM (SELECT query_id, chunk_id, round(r / (r + 1), 6) AS s FROM covers) JOIN chunks USING (chunk_id) QUALIFY {top('s')}),
 blended AS (SELECT query_id, workspace, chunk_id, coalesce(sim, 0) AS sim, coalesce(s, 0) AS s, max(coalesce(s, 0)) OVER (PARTITION BY query_id, workspace) > 0 AS lexical FROM sem FULL JOIN lex USING (query_id, workspace, chunk_id)),
-found AS (SELECT query_id, chunk_id, sim, round(CASE WHEN lexical THEN 0.7::DOUBLE * sim + 0.3::DOUBLE * s ELSE sim END, 6) AS score FROM blended WHERE sim >= 0.30 OR s > 0),
+found AS (SELECT query_id, chunk_id, sim, round((CASE WHEN lexical THEN 0.7::DOUBLE * sim + 0.3::DOUBLE * s ELSE sim END)::VARCHAR::DECIMAL(38, 20), 6)::DOUBLE AS score FROM blended WHERE sim >= 0.30 OR s > 0),
 cand AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS no, count(*) OVER (PARTITION BY query_id) AS many, {words} AS ws FROM found JOIN chunks USING (chunk_id) JOIN q USING (query_id)),
 alike AS (SELECT b.query_id, b.no, list(a.no) AS near FROM cand a JOIN cand b ON a.query_id = b.query_id AND a.no < b.no
   WHERE len(list_intersect(a.ws, b.ws))::DOUBLE / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) > 0.7 GROUP BY 1, 2),
@@ -179,18 +176,52 @@ results AS MATERIALIZED (SELECT query_id, filename, chunk_index, chunk_id, chunk
 """
 
 
-RETRIEVED = hybrid_sql()
+def hashed_sims() -> str:
+    """sims of hashed embeddings, from counts of words by place."""
+    counted = lambda key, rows: f"SELECT {key}, coalesce(b, 0) AS b, count(*) AS c FROM (SELECT {key}, unnest(CASE WHEN len(regexp_extract_all(lower(x), '[a-z0-9]+')) = 0 THEN [''] ELSE regexp_extract_all(lower(x), '[a-z0-9]+') END) AS w FROM {rows}) LEFT JOIN codes USING (w) GROUP BY ALL"
+    return f"""codes AS MATERIALIZED (SELECT w, {crc_sql("w")} % {DIM} AS b FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) AS w FROM (SELECT chunk_text AS x FROM chunks UNION ALL SELECT query FROM q))),
+cv AS MATERIALIZED ({counted('chunk_id', '(SELECT chunk_id, chunk_text AS x FROM chunks)')}), qv AS MATERIALIZED ({counted('query_id', '(SELECT query_id, query AS x FROM q)')}),
+cn AS (SELECT chunk_id, sqrt(sum(c * c)) AS n FROM cv GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(c * c)) AS n FROM qv GROUP BY 1),
+dots AS (SELECT query_id, chunk_id, sum(qv.c * cv.c) AS d FROM qv JOIN cv USING (b) GROUP BY 1, 2),
+sims AS (SELECT query_id, chunk_id, round(d / (qn.n * cn.n), 6) AS sim FROM dots JOIN qn USING (query_id) JOIN cn USING (chunk_id))"""
 
 
-@query(RETRIEVED + "SELECT query_id, filename, chunk_index, chunk_id, similarity, combined_score, place FROM results")
+RETRIEVED = hybrid_sql(
+    f"""pieces AS ({CHARS}),
+chunks AS (SELECT doc_id * 1000000 + chunk_index AS chunk_id, 'doc_' || doc_id || '.txt' AS filename, chunk_index, chunk_text, doc_id % 2 AS workspace FROM pieces),
+q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE text IS NOT NULL)""", hashed_sims())
+STATED = hybrid_sql(
+    """chunks AS (SELECT doc_id AS chunk_id, 'doc_' || doc_id || '.txt' AS filename, 0 AS chunk_index, text AS chunk_text, 0 AS workspace FROM documents),
+q AS (SELECT query_id, query FROM (VALUES (1::BIGINT, 'the of'), (2, 'inin'), (3, 'nowhere to be found')) v(query_id, query) JOIN embeddings ON vec_id = query_id)""",
+    f"sims AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {COS.format('b.embedding', 'a.embedding')} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id IN (1, 2, 3))")
+
+
+def chunked(t):
+    """Documents as one chunk each; those without a vector have a null embedding and are found by their words."""
+    return t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id"), "left").select(
+        F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("filename"), F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"), "embedding")
+
+
+def stated_queries(t):
+    asked = t.spark.createDataFrame([(1, "the of"), (2, "inin"), (3, "nowhere to be found")], "query_id long, query string")
+    return asked.join(t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
+
+
+@query(STATED + "SELECT query_id, filename, chunk_index, chunk_id, similarity, combined_score, place FROM results")
 def hybrid_pipeline(t):
-    """Every benchmark text over all documents' chunks, of two workspaces."""
-    return retrieved(t).drop("chunk_text")
+    """Three stated queries over all documents, one chunk each."""
+    return search.hybrid_search(chunked(t), stated_queries(t)).drop("chunk_text")
 
 
 @query()
 def context_pack(t):
-    return rerank.packed_context(retrieved(t))
+    return rerank.packed_context(search.hybrid_search(chunked(t), stated_queries(t)))
+
+
+@query(RETRIEVED + "SELECT query_id, filename, chunk_index, chunk_id, similarity, combined_score, place FROM results")
+def hybrid_chunks(t):
+    """Every benchmark text over all documents' chunks, of two workspaces."""
+    return retrieved(t).drop("chunk_text")
 
 
 @query("""WITH r AS (SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN NULL ELSE (length(text) % 40)::DOUBLE / 4 - 12 END AS s FROM conversations),
@@ -335,8 +366,8 @@ def memory_new_only(t):
 
 
 @query(RETRIEVED + """SELECT query_id, list_sort(list(filename || '#' || chunk_index)) AS sources, count(DISTINCT filename) AS files, round(least(1, greatest(0, avg(combined_score))), 4) AS confidence FROM results GROUP BY 1""")
-def answer_payload(t):
-    """The JSON payload of every query, read again for its parts."""
+def answer_sources(t):
+    """The JSON payload of every benchmark query's answer, read again for its parts."""
     from lakequill.operators import orchestrate
 
     made = orchestrate.payload(retrieved(t))
@@ -353,7 +384,7 @@ rows_of AS (SELECT * FROM docs UNION ALL SELECT * FROM pages_of)
 SELECT query_id, tool, id, 'ok' AS status FROM rows_of
 UNION ALL SELECT query_id, tool, NULL, 'empty' FROM asked, (VALUES ('documents'), ('pages')) v(tool) WHERE (query_id, tool) NOT IN (SELECT query_id, tool FROM rows_of)
 UNION ALL SELECT query_id, 'mail', NULL, 'unknown' FROM asked""")
-def job_matrix(t):
+def tool_jobs(t):
     """Three tools for every benchmark item: a search by table function, pages by key, and one that isn't there."""
     from lakequill.operators import orchestrate
     from lakequill.plans.learned import tooled
@@ -368,6 +399,33 @@ def job_matrix(t):
     return orchestrate.job_matrix(asked, tools).select("query_id", "tool", F.get_json_object("result", "$.id").cast("long").alias("id"), "status")
 
 
+@query()
+def answer_payload(t):
+    from lakequill.operators import orchestrate
+
+    return orchestrate.payload(search.hybrid_search(chunked(t), stated_queries(t)))
+
+
+@query(f"""WITH q AS (SELECT query_id, query FROM (VALUES (1::BIGINT, 'the of'), (2, 'inin'), (3, 'nowhere to be found')) v(query_id, query) JOIN embeddings ON vec_id = query_id),
+hits AS (SELECT doc_id, round(0.1 * n / (1 + 0.1 * n), 6) AS lexical_score FROM (SELECT doc_id, len(list_filter({LEX}, lambda x: x = 'inin')) AS n FROM documents) WHERE n > 0 ORDER BY 2 DESC, 1 LIMIT 3),
+rows_of AS (SELECT query_id, 'documents' AS tool, doc_id AS id FROM q, hits WHERE query LIKE '%inin%' UNION ALL SELECT query_id, 'pages', page_id FROM q, (SELECT page_id FROM pages ORDER BY 1 LIMIT 2))
+SELECT query_id, tool, id, 'ok' AS status FROM rows_of
+UNION ALL SELECT query_id, tool, NULL, 'empty' FROM q, (VALUES ('documents'), ('pages')) v(tool) WHERE (query_id, tool) NOT IN (SELECT query_id, tool FROM rows_of)
+UNION ALL SELECT query_id, 'mail', NULL, 'unknown' FROM q""")
+def job_matrix(t):
+    """Three tools for the stated queries; each gives a few rows, which meet the queries by a key."""
+    from lakequill.operators import orchestrate
+
+    asked = stated_queries(t).select("query_id", "query", F.array(F.lit("documents"), F.lit("pages"), F.lit("mail")).alias("tools"))
+    hits = search.lexical_search(t.documents, "inin", k=3, id_col="doc_id", text="text").select(F.lit("inin").alias("word"), F.col("doc_id").alias("id"))
+    first = t.pages.orderBy("page_id").limit(2).select(F.lit(1).alias("one"), F.col("page_id").alias("id"))
+    tools = {
+        "documents": lambda q: q.where(F.col("query").contains("inin")).withColumn("word", F.lit("inin")).join(hits, "word").select("query_id", "id"),
+        "pages": lambda q: q.withColumn("one", F.lit(1)).join(first, "one").select("query_id", "id"),
+    }
+    return orchestrate.job_matrix(asked, tools).select("query_id", "tool", F.get_json_object("result", "$.id").cast("long").alias("id"), "status")
+
+
 @query("SELECT doc_id, sha256('default:' || text) AS cache_key FROM documents WHERE text IS NOT NULL")
 def embedding_cache_keys(t):
     return t.documents.where("text IS NOT NULL").select("doc_id", F.sha2(F.concat(F.lit("default:"), "text").cast("binary"), 256).alias("cache_key"))
