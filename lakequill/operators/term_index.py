@@ -99,10 +99,9 @@ class TermIndex:
                     yield packed(batch, block)
 
         rows = postings(docs, id_col=id_col, text=text).select(bucket(F.col("term"), self.buckets).alias("bucket"), "term", tier(F.col("positions")).alias("tier"), F.col(id_col).cast("long").alias("id"), "positions")
-        rows = stored(rows, "postings")  # the ranges are sampled from what is written, not by making the lists twice
         keys = ["bucket", "term", F.desc("tier"), "id"]
         made = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(pack, "bucket int, term string, first long, last long, most int, ids array<long>, positions array<array<int>>")
-        made.write.partitionBy("bucket").mode("append").parquet(f"{self.path}/blocks")
+        made.write.option("compression", "zstd").partitionBy("bucket").mode("append").parquet(f"{self.path}/blocks")
 
     def rows(self) -> DataFrame:
         schema = "term string, first long, last long, most int, ids array<long>, positions array<array<int>>, bucket int"
