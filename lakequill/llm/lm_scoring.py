@@ -16,9 +16,9 @@ than one.
 Texts are turned into subword ids once, and stored so; all that follows reads arrays of ids. Word
 counts, subword counts, the classes and the transitions rest on the whole training part; each
 is a distributed aggregation. Attention weights start at random and learn in tasks, in rounds: in
-each round every task takes the weights through its texts of that round (SHARES, of all training
-texts), and the weights of the tasks are averaged by their words. What they learn from grows with
-the input.
+each round every task takes the weights through its texts of that round, and the weights of the
+tasks are averaged by their words. The rounds share out the training texts (SHARES), so that each
+of them is learned from once.
 
 Scoring reads texts whole. A text is cut into blocks of BLOCK words, each padded text on its own;
 the window of a block is the block and the one before it, so that windows overlap and each word is
@@ -50,7 +50,7 @@ ROWS, SHARED = 4096, 64  # rows of the tables by subword id; of these, those tha
 FEATURES, AXES = 128, 12  # columns of the counts that classes are made from, and what is kept of them
 END = 50256  # starts and ends a text; not an id of the vocabulary's tokens
 STOP = np.array([END], "u2").tobytes()
-SHARES = (1 / 32, 1 / 8)  # of the training texts, that the rounds of training take
+SHARES = (1 / 8, 7 / 8)  # of the training texts, that the rounds of training take: all of them, each in one round
 RATES = (0.03, 0.01)  # of the rounds
 PIECE = 1 << 17  # words that a task trains on at once
 CHUNK, BATCH = 256, 512  # blocks that are scored at once, and that make a step of training, at most
@@ -156,9 +156,9 @@ def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
 
 def means(of: np.ndarray, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Mean of the table's rows of each word; id after id, as words are short, and the longest by reduceat."""
-    out, left = of[rows[starts]], np.nonzero(sizes > 1)[0]
+    out, left = np.take(of, rows[starts], axis=0), np.nonzero(sizes > 1)[0]
     for k in range(1, 12):
-        out[left] += of[rows[starts[left] + k]]
+        out[left] += np.take(of, rows[starts[left] + k], axis=0)
         left = left[sizes[left] > k + 1]
     if len(left):
         more, new, _ = gathered(rows, starts[left] + 12, sizes[left] - 12)
@@ -388,16 +388,19 @@ class Model:
         first[at // BLOCK] = True
         return {"rows": self.a["row"][w.ids], "starts": w.starts, "size": w.sizes, "inputs": inputs, "goal": goal, "first": first, "place": place, "kind": kind}
 
-    def embed(self, lay: dict) -> dict[str, np.ndarray]:
-        """Queries, keys and values of the distinct words."""
-        return {t: means(self.a[t], lay["rows"], lay["starts"], lay["size"]) for t in TABLES}
+    def tables(self) -> np.ndarray:
+        """The tables side by side: a row has an id's query, key and value."""
+        return np.concatenate([self.a[t] for t in TABLES], axis=1)
 
-    def forward(self, vectors: dict[str, np.ndarray], inputs: np.ndarray, first: np.ndarray, before: np.ndarray) -> tuple:
-        """Attention of some blocks: queries, keys, values, weights, sums, and exponentials of the classes' scores."""
-        window = lambda x: np.lib.stride_tricks.as_strided(x, (len(x) // BLOCK - 1, 2 * BLOCK, DIM), (BLOCK * 4 * DIM, 4 * DIM, 4))
-        k, v = window(np.take(vectors["k"], inputs, axis=0)), window(np.take(vectors["v"], inputs, axis=0))
-        q = np.take(vectors["q"], inputs[BLOCK:], axis=0).reshape(-1, BLOCK, DIM)
-        e = np.matmul(q, k.transpose(0, 2, 1))
+    def forward(self, vectors: np.ndarray, inputs: np.ndarray, first: np.ndarray, before: np.ndarray) -> tuple:
+        """Attention of some blocks: queries, keys, values, weights, sums, and exponentials of the classes' scores.
+
+        vectors: queries, keys and values of the distinct words, side by side.
+        """
+        x = np.take(vectors, inputs, axis=0)
+        window = lambda x: np.lib.stride_tricks.as_strided(x, (len(x) // BLOCK - 1, 2 * BLOCK, DIM), (BLOCK * x.strides[0], *x.strides))
+        q, k, v = x[BLOCK:].reshape(-1, BLOCK, 3 * DIM)[:, :, :DIM], window(x[:, DIM : 2 * DIM]), window(x[:, 2 * DIM :])
+        e = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
         e += self.a["r"][np.clip(self.back, 0, 2 * BLOCK - 1)]
         np.exp(np.clip(e, -MOST, MOST, out=e), out=e)
         e *= self.causal
@@ -411,7 +414,7 @@ class Model:
 
     def class_logs(self, lay: dict) -> np.ndarray:
         """Natural logs of the probabilities of the words' classes, given the words before them."""
-        vectors, out = self.embed(lay), np.empty(len(lay["goal"]))
+        vectors, out = means(self.tables(), lay["rows"], lay["starts"], lay["size"]), np.empty(len(lay["goal"]))
         before = lay["rows"][lay["starts"]]
         for at in range(0, len(lay["first"]), CHUNK):
             part = slice(at, min(len(lay["first"]), at + CHUNK))
@@ -424,50 +427,54 @@ class Model:
     def learn(self, texts: Words, rate: float, seed: int = 9) -> None:
         """One pass over all blocks, in random order, by Adam."""
         lay = self.layout(texts)
-        p, n = self.a, len(lay["first"])
+        n = len(lay["first"])
         batch = max(16, min(BATCH, n // 32))  # few texts take as many steps as a whole piece
-        names = (*TABLES, "o", "r")
-        m = {k: [np.zeros_like(p[k]), np.zeros_like(p[k])] for k in names}
+        p = {"tables": self.tables(), "o": self.a["o"], "r": self.a["r"]}
+        m = {k: [np.zeros_like(x), np.zeros_like(x), np.empty_like(x)] for k, x in p.items()}
         places = np.random.default_rng(seed).permutation(np.arange(0, n, batch))
         seen = self.back >= 0
         for step, at in enumerate(places.tolist(), 1):
             part = slice(at, min(n, at + batch))
             here, inputs = np.unique(lay["inputs"][part.start * BLOCK : (part.stop + 1) * BLOCK], return_inverse=True)
             rows, starts, size = gathered(lay["rows"], lay["starts"][here], lay["size"][here])
-            q, k, v, e, h, d = self.forward(self.embed({"rows": rows, "starts": starts, "size": size}), inputs, lay["first"][part], rows[starts][inputs[BLOCK:]])
-            d /= d.sum(axis=1, keepdims=True)
+            q, k, v, e, h, d = self.forward(means(p["tables"], rows, starts, size), inputs, lay["first"][part], rows[starts][inputs[BLOCK:]])
+            d /= d @ np.ones((CLASSES, 1), np.float32)
             goal = lay["goal"][part.start * BLOCK : part.stop * BLOCK]
             d[np.arange(len(d)), goal] -= 1
             d *= (goal >= 0)[:, None] / np.float32(max(1, (goal >= 0).sum()))
             dh = (d @ p["o"].T).reshape(h.shape)
-            dp = np.matmul(dh, v.transpose(0, 2, 1))
-            ds = e * (dp - (e * dp).sum(axis=2, keepdims=True))
+            dp = np.matmul(dh, np.ascontiguousarray(v.transpose(0, 2, 1)))
+            ds = e * (dp - np.matmul((e * dp), np.ones((2 * BLOCK, 1), np.float32)))
             grads = {"o": h.reshape(-1, DIM).T @ d, "r": np.bincount(self.back[seen], ds.sum(axis=0)[seen], 2 * BLOCK).astype(np.float32)}
-            spread, order = np.repeat(np.arange(len(here)), size), np.argsort(rows, kind="stable")
-            own, from_ = np.unique(rows[order], return_index=True)
-            by_place = {"q": np.matmul(ds, k), "k": np.matmul(ds.transpose(0, 2, 1), q), "v": np.matmul(e.transpose(0, 2, 1), dh)}
-            for name, g in by_place.items():
-                each = np.zeros((len(inputs), DIM), np.float32)  # windows overlap: a key is in two of them
-                if name == "q":
-                    each[BLOCK:] = g.reshape(-1, DIM)
-                else:
-                    each[:-BLOCK] += g[:, :BLOCK].reshape(-1, DIM)
-                    each[BLOCK:] += g[:, BLOCK:].reshape(-1, DIM)
-                by_word = added(each, inputs, len(here)) / size[:, None].astype(np.float32)
-                grads[name] = np.zeros_like(p[name])
-                grads[name][own] = np.add.reduceat(by_word[spread[order]], from_, axis=0)
+            each = np.zeros((len(inputs), 3 * DIM), np.float32)
+            each[BLOCK:, :DIM] = np.matmul(ds, k).reshape(-1, DIM)
+            for name, g in ((1, np.matmul(ds.transpose(0, 2, 1), q)), (2, np.matmul(e.transpose(0, 2, 1), dh))):
+                own = each[:, name * DIM : (name + 1) * DIM]  # windows overlap: a key is in two of them
+                own[:-BLOCK] += g[:, :BLOCK].reshape(-1, DIM)
+                own[BLOCK:] += g[:, BLOCK:].reshape(-1, DIM)
+            by_word = added(each, inputs, len(here)) / size[:, None]
+            grads["tables"] = added(np.repeat(by_word, size, axis=0), rows, ROWS).astype(np.float32)
             for name, g in grads.items():
-                a, b = m[name]
-                a += np.float32(0.1) * (g - a)
-                b += np.float32(0.01) * (g * g - b)
-                p[name] -= np.float32(rate * (1 - step / (len(places) + 1)) / (1 - 0.9**step)) * a / (np.sqrt(b / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+                a, b, root = m[name]
+                a *= np.float32(0.9)
+                b *= np.float32(0.99)
+                b += np.float32(0.01) * (g * g)
+                g *= np.float32(0.1)
+                a += g
+                np.sqrt(b, out=root)
+                root *= np.float32(1 / np.sqrt(1 - 0.99**step))
+                root += np.float32(1e-8)
+                np.divide(a, root, out=root)
+                root *= np.float32(rate * (1 - step / (len(places) + 1)) / (1 - 0.9**step))
+                p[name] -= root
+        for k, name in enumerate(TABLES):
+            self.a[name] = np.ascontiguousarray(p["tables"][:, k * DIM : (k + 1) * DIM])
 
 
 def added(each: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
-    """Rows added up by where they belong; each of n places has one at least."""
-    order = np.argsort(to, kind="stable")
-    starts = np.searchsorted(to[order], np.arange(n))
-    return np.add.reduceat(each[order], starts, axis=0)
+    """Rows added up by where they belong, of n places."""
+    width = each.shape[1]
+    return np.bincount((to[:, None] * width + np.arange(width)).ravel(), each.ravel(), n * width).reshape(n, width)
 
 
 def learn_in_tasks(tokens: DataFrame, model: Model, rate: float, path: str | None) -> int:
@@ -511,12 +518,17 @@ def train(tokens: DataFrame, *, path: str | None = None, shares: tuple[float, ..
     row = id_rows(every)
     kinds = word_kinds(followed(tokens, row, path, column=features(first)), single, row)
     model = Model.start(kinds, *class_counts(vocabulary, kinds), followed(tokens, row, path, kinds=kinds))
-    for k, (share, rate) in enumerate(zip(shares, rates, strict=True)):
-        drawn = F.shiftrightunsigned(F.xxhash64(F.lit(k), "ids"), 11) / float(1 << 53)
-        learn_in_tasks(tokens.where(drawn < share), model, rate, path)
+    for texts, rate in zip(dealt(tokens, shares), rates, strict=True):
+        learn_in_tasks(texts, model, rate, path)
     return model, vocabulary
 
 
+def dealt(tokens: DataFrame, shares: tuple[float, ...]) -> list[DataFrame]:
+    """The texts of each round: a round goes on where the one before stopped, so that shares of 1 in all take every text once."""
+    drawn = F.shiftrightunsigned(F.xxhash64("ids"), 11) / float(1 << 53)
+    return [tokens.where(F.pmod(drawn - F.lit(float(sum(shares[:k]) % 1)), F.lit(1.0)) < share) for k, share in enumerate(shares)]
+
+
 def frequent(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame]:
     """Hashes, in order, and counts of the most frequent words, HEAVY at most; and h and c of the others."""
     octave = F.floor(F.log2("c") * 8)

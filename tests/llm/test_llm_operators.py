@@ -615,3 +615,14 @@ def test_random_strings_of_letters_alone_are_secrets(spark):
     letters = [i for i, k in enumerate(keys) if k.isalpha()]
     got = {r["doc_id"]: r["spans"] for r in rows_of(secrets.scan(spark.createDataFrame([(i, f"key {k} end") for i, k in enumerate(keys)] + [(9000, "see " + "pneumonoultramicroscopicsilicovolcanoconiosis")], "doc_id long, text string")))}
     assert len(letters) > 10 and sum(bool(got[i]) for i in letters) > len(letters) / 2 and not got[9000]
+
+
+def test_lm_attention_learns_from_every_text(odd, monkeypatch):
+    """Rounds take each training text once, copies included; a share is no end of what is learned from."""
+    learn, taken = lm_scoring.learn_in_tasks, []
+    monkeypatch.setattr(lm_scoring, "learn_in_tasks", lambda *a: taken.append(learn(*a)))
+    tokens = lm_scoring.tokenised(odd)
+    _, vocabulary = lm_scoring.train(tokens)
+    assert sum(taken) == sum(r["c"] for r in rows_of(vocabulary)) and all(taken)
+    each = [Counter(bytes(r["ids"]) for r in rows_of(part)) for part in lm_scoring.dealt(tokens, lm_scoring.SHARES)]
+    assert sum(each, Counter()) == Counter(bytes(r["ids"]) for r in rows_of(tokens)) and not each[0] & each[1]
