@@ -12,7 +12,9 @@
    between components is left out: within small buckets pair by pair, those that sketches can't
    rule out; within clusters of classes that share large buckets, block against block, where one
    matrix product counts the shared shingles of all pairs. Pairs of a large group are never rows.
-4. Components come from min-label propagation over links between components.
+4. In the first round a class is linked to one drawn before it at most, so that these links are
+   trees, whose tops are found by doubling; later components come from min-label propagation over
+   links between components.
 
 Classes are 64-bit hashes: n distinct texts give about n*n/2**65 false merges.
 """
@@ -150,7 +152,7 @@ def full_sets(docs: DataFrame, chosen: DataFrame, id_col: str, text: str, size:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, grows: bool) -> DataFrame:
-    """The pairs (a, b, ..) whose full sets have 100 * intersection >= percent * union.
+    """Components (ca, cb) of the pairs (a, b, ca, cb) whose full sets have 100 * intersection >= percent * union.
 
     grows: as many pairs as there are near copies, so that joins are by shuffle at every size.
     """
@@ -158,7 +160,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, grows: bool) -> D
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
     if grows:
         left, right = left.hint("merge"), right.hint("merge")
-    rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    rows = pairs.join(left, "a").join(right, "b").select("ca", "cb", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,9 +171,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, grows: bool) -> D
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "ca long, cb long")
+
+
+def tops(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """nodes (sid) to (sid, comp): comp is the top of its tree. parents (ca, cb): a node's parent; none twice, no cycles."""
+    labels = stored(nodes.join(parents.select(F.col("ca").alias("sid"), "cb"), "sid", "left").select("sid", F.coalesce("cb", "sid").alias("comp")), "near-all-labels")
+    while True:
+        up = labels.select(F.col("sid").alias("comp"), F.col("comp").alias("top"))
+        new = stored(labels.join(up, "comp").select("sid", F.col("top").alias("comp"), (F.col("top") != F.col("comp")).alias("moved")), "near-all-labels")
+        discard(labels)
+        labels = new
+        if labels.where("moved").isEmpty():
+            return labels.select("sid", "comp")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,7 +223,7 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def links_in_clusters(clusters: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components within clusters (sid, cluster): what is outside a cluster's
+    """Links (ca, cb) between components within clusters (sid, cluster): what is outside a cluster's
     largest component against all of it, in blocks. One link for each two components and blocks."""
     nodes = clusters.join(labels, "sid")
     per = nodes.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -224,7 +238,7 @@ def links_in_clusters(clusters: DataFrame, labels: DataFrame, sets: DataFrame, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[int, int], tuple[int, int]] = {}
+            found: set[tuple[int, int]] = set()
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 x, y = x.as_py(), y.as_py()  # noqa: PLW2901
                 left, right = ([unpack(r["shingles"]) for r in side] for side in (x, y))
@@ -232,28 +246,24 @@ def links_in_clusters(clusters: DataFrame, labels: DataFrame, sets: DataFrame, p
                 total = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
                 apart = np.array([r["comp"] for r in x])[:, None] != np.array([r["comp"] for r in y])[None, :]
                 for i, j in zip(*np.nonzero(apart & (100 * both >= percent * (total - both))), strict=True):
-                    found.setdefault((x[i]["comp"], y[j]["comp"]), (x[i]["sid"], y[j]["sid"]))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found.values()], pa.int64()), "b": pa.array([b for _, b in found.values()], pa.int64())})
+                    found.add((x[i]["comp"], y[j]["comp"]))
+            yield pa.RecordBatch.from_pydict({"ca": pa.array([a for a, _ in found], pa.int64()), "cb": pa.array([b for _, b in found], pa.int64())})
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "ca long, cb long")
 
 
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = 75, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """signatures (id, n, sid) and labels (sid, comp) of the classes that share a bucket."""
     signed = stored(signatures(docs, id_col, text, size), "near-signed")
     rows = signed.where("sid is not null")
-    keyed = rows.select(F.explode("keys").alias("key"), "sid")
-    several = keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("key")
-    members = stored(keyed.join(several, "key").distinct(), "near-members")
-    nodes = members.select("sid").distinct()
-    one = rows.groupBy("sid").agg(F.min(F.struct("id", "h", "n", *SKETCH)).alias("x")).join(nodes, "sid").select("sid", "x.*")
-    one = stored(one, "near-nodes")
-    sets = stored(full_sets(docs, one.select("sid", "id", "h"), id_col, text, size).dropDuplicates(["sid"]), "near-sets")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("_m"), F.min("sid").alias("first"))
-    buckets = stored(members.join(sizes, "key").join(one.select("sid", "n", *SKETCH), "sid").withColumn("large", F.col("_m") >= LARGE).drop("_m"), "near-buckets")
+    one = stored(rows.groupBy("sid").agg(F.min(F.struct("id", "h", "n", *SKETCH, "keys")).alias("x")).select("sid", "x.*"), "near-classes")
+    keyed = one.select(F.explode(F.array_distinct("keys")).alias("key"), "sid")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_m"), F.min("sid").alias("first")).where("_m > 1")
+    members = stored(keyed.join(sizes, "key"), "near-members")
+    sets = stored(full_sets(docs, one.join(members, "sid", "left_semi").select("sid", "id", "h"), id_col, text, size).dropDuplicates(["sid"]), "near-sets")
+    buckets = stored(members.join(one.select("sid", "n", *SKETCH), "sid").withColumn("large", F.col("_m") >= LARGE).drop("_m"), "near-buckets")
     discard(members)
     discard(one)
-    labels = stored(buckets.select("sid", F.col("sid").alias("comp")).distinct(), "near-all-labels")
     places = buckets.count()
 
     limit = sketch_limit(percent / 100)
@@ -261,33 +271,38 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     alike = (apart <= limit) & (F.lit(100) * F.least("n", "r.n") >= percent * F.greatest("n", "r.n")) & (F.col("comp") != F.col("r.comp"))
 
     def joined(links: DataFrame) -> bool:
-        """Move the labels of components that links (a, b) join; whether any moved."""
+        """Move the labels of components that links (ca, cb) join; whether any moved."""
         nonlocal labels
         links = stored(links, "near-links")
         if links.isEmpty():
             return False
-        of = lambda c: labels.select(F.col("sid").alias(c), F.col("comp").alias(f"c{c}"))
-        moves = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        moves = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         new = stored(labels.join(moves.select(F.col("sid").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("sid", F.coalesce("to", "comp").alias("comp")), "near-all-labels")
         discard(labels)
         discard(links)
         labels = new
         return True
 
-    for k in range(rounds):  # after the first, only where groups are large
-        open_ = (buckets.where("large") if k else buckets).join(labels, "sid")
+    for k in range(max(1, rounds)):  # after the first, only where groups are large
+        open_ = buckets.where("large").join(labels, "sid") if k else buckets.withColumn("comp", F.col("sid"))
         drawn = F.struct(F.xxhash64(F.lit(k), "sid").alias("o"), "sid", "comp", "n", *SKETCH)
         mark = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(drawn).alias("r"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "r", "n")
         met = by_group(open_.select("key", "sid", "comp", "n", *SKETCH), mark, ["key"], "sid", places).select("*", "_found.r").where("r is not null").where(alike).select("sid", "comp", F.col("r.sid").alias("other"), F.col("r.comp").alias("to"), apart.alias("d"))
         best = met.groupBy(*(("comp", "to") if k else ("sid",))).agg(F.min(F.struct("d", "sid", "other")).alias("p"))
-        pairs = stored(best.select(F.col("p.sid").alias("a"), F.col("p.other").alias("b")), "near-pairs")
-        if not joined(confirmed(pairs, sets, percent, grows=not k)) and k:
+        ends = ("comp", "to") if k else ("p.sid", "p.other")
+        pairs = stored(best.select(F.col("p.sid").alias("a"), F.col("p.other").alias("b"), *[F.col(x).alias(c) for x, c in zip(ends, ("ca", "cb"), strict=True)]), "near-pairs")
+        if not k:  # the other one is drawn before in every bucket, by one order: a class has one parent at most, and there are no cycles
+            links = stored(confirmed(pairs, sets, percent, grows=True), "near-links")
+            labels = tops(buckets.select("sid").distinct(), links)
+            discard(links)
+        elif not joined(confirmed(pairs, sets, percent, grows=False)):
             break
         discard(pairs)
     open_ = stored(buckets.where("NOT large").join(labels, "sid"), "near-open")
     largest = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"))
     outside = open_.join(largest, "key").where("comp <> main").select("key", F.struct("sid", "comp", "n", *SKETCH).alias("r"))
-    rest = open_.join(outside, "key").where(alike).select(F.least("sid", "r.sid").alias("a"), F.greatest("sid", "r.sid").alias("b")).distinct()
+    both = [F.struct("sid", "comp"), F.struct("r.sid", "r.comp")]
+    rest = open_.join(outside, "key").where(alike).select(F.least(*both).alias("x"), F.greatest(*both).alias("y")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct()
     pairs = stored(rest, "near-pairs")
     joined(confirmed(pairs, sets, percent, grows=True))
     discard(pairs)

@@ -218,6 +218,20 @@ def test_near_dedup_large_group(spark, stock, monkeypatch):
     assert near_rows(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
 
 
+def test_near_dedup_first_round_makes_trees(spark, stock, monkeypatch):
+    """Links of the first round give each class one parent at most: their tops are found without propagation of labels."""
+    rng = random.Random(7)
+    base = [rng.choice(stock) for _ in range(150)]
+    rows = [(i, " ".join(f"x{i}" if k == 3 * i else w for k, w in enumerate(base))) for i in range(40)]
+    calls, propagated = [], near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda edges: calls.append(edges) or propagated(edges))
+    assert near_rows(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
+    assert not calls
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 100)], "ca long, cb long")
+    got = near_dedup.tops(spark.range(120).withColumnRenamed("id", "sid"), chain)
+    assert {r["sid"]: r["comp"] for r in rows_of(got)} == {i: 0 if i < 100 else i for i in range(120)}
+
+
 def test_odd_sketches_tell_similarity():
     signer, rng = near_dedup.Signer(), np.random.default_rng(6)
     for similar in (0.3, 0.6, 0.75, 0.9):
