@@ -35,14 +35,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakequill.llm.common import crc_rem, stored, table
+from lakequill.llm.common import crc_rem, once, stored, table
 
 HEAVY = 1 << 19  # words that are broadcast, at most
-CACHED = 400_000  # words that a worker holds at once
+TOGETHER = 20_000  # distinct words that are encoded at once
 COUNTED = 2_000_000  # subword ids of distinct words that a task counts before it hands them on
 DIM, BLOCK = 16, 8
 CLASSES, OWN = 48, 16  # classes; of these, the most frequent words of a single id, one each
@@ -52,6 +53,7 @@ END = 50256  # starts and ends a text; not an id of the vocabulary's tokens
 STOP = np.array([END], "u2").tobytes()
 SHARES = (1 / 8, 7 / 8)  # of the training texts, that the rounds of training take: all of them, each in one round
 RATES = (0.03, 0.01)  # of the rounds
+TEXTS = 2048  # texts whose distinct words are told apart at once, at most
 PIECE = 1 << 17  # words that a task trains on at once
 CHUNK, BATCH = 256, 512  # blocks that are scored at once, and that make a step of training, at most
 FIXED = 1 << 20  # weights are summed as integers of this scale, so that their order doesn't matter
@@ -59,10 +61,6 @@ MOST = np.float32(50)  # scores of keys and of classes are held within this boun
 TABLES = ("q", "k", "v")
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 class Subwords:
     """Subword ids of words with a space before them, as unsigned 16-bit integers (of the machines' byte order).
 
@@ -82,24 +80,45 @@ class Subwords:
         self.opens = np.zeros(END + 1, bool)  # ids that start words
         self.opens[[i for b, i in ranks.items() if b[:1] == b" "]] = True
         self.opens[END] = True
-        self.known: dict[bytes, bytes] = {}
+
+    def texts_ids(self, texts: pa.Array) -> pa.Array:
+        """Ids of all words of each text, without the end; none for a null. Each distinct word is encoded once."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        each = split.values.dictionary_encode()
+        ids = self.words_ids(each.dictionary).take(each.indices)
+        starts = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1) if len(ids) else np.zeros(1, np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(starts[split.offsets.to_numpy()]), ids.buffers()[2]])
+
+    def words_ids(self, distinct: pa.Array) -> pa.Array:
+        """Ids of each word. Words are encoded together, as what the pattern takes starts at the space before a word and
+        ends with it, unless there are spaces beyond ASCII in words; these are encoded alone, as is the empty one that
+        splitting leaves where a text starts or ends with space."""
+        alone = pc.or_(pc.equal(distinct, ""), pc.match_substring_regex(distinct, r"[\x{85}\p{Z}]"))
+        few = {i: array("H", self.encode(" " + w) if w else ()).tobytes() for i, w in zip(pc.indices_nonzero(alone).to_pylist(), distinct.filter(alone).to_pylist(), strict=True)}
+        rest = distinct.filter(pc.invert(alone)) if few else distinct
+        ids = [np.zeros(0, "u2")]
+        for i in range(0, len(rest), TOGETHER):
+            part = rest.slice(i, TOGETHER)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")[0].as_py()
+            ids.append(np.array(array("H", self.encode(" " + joined))))
+        ids = np.concatenate(ids)
+        ends = np.append(np.nonzero(self.opens[ids])[0], len(ids)) * 2
+        if len(ends) != len(rest) + 1:
+            raise ValueError("a word's first id alone starts with a space: the vocabulary doesn't keep to that")
+        out = pa.Array.from_buffers(pa.binary(), len(rest), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.tobytes())])
+        if few:
+            place = np.cumsum(~alone.to_numpy(zero_copy_only=False)) - 1
+            place[list(few)] = len(rest) + np.arange(len(few))
+            out = pa.concat_arrays([out, pa.array(few.values(), pa.binary())]).take(pa.array(place))
+        return out
 
     def text_ids(self, text: str | None) -> bytes:
-        """Ids of all words of a text, without the end."""
-        ws = words(text)
-        get = self.known.get
-        out = [get(w) for w in ws]
-        if None in out:
-            if len(self.known) > CACHED:
-                self.known.clear()
-            for k, x in enumerate(out):
-                if x is None:
-                    w = ws[k]
-                    x = get(w)  # noqa: PLW2901
-                    if x is None:
-                        x = self.known[w] = array("H", self.encode(" " + w.decode("utf-8", "replace"))).tobytes()  # noqa: PLW2901
-                    out[k] = x
-        return b"".join(out)
+        return self.texts_ids(pa.array([text], pa.string()))[0].as_py()
+
+
+def vocabulary_of(path: str | None) -> Subwords:
+    """The vocabulary, read once in each worker process."""
+    return once(("lm-subwords", path), lambda: Subwords(path))
 
 
 def tokenised(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -108,25 +127,27 @@ def tokenised(docs: DataFrame, text: str = "text", path: str | None = None) -> D
     schema = docs.select(*kept).schema.add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(path)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
-                ids = pa.array([subwords.text_ids(t) for t in batch.column(len(kept)).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids], schema.names)
+        subwords = vocabulary_of(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], subwords.texts_ids(batch.column(len(kept)))], schema.names)
 
     return docs.select(*kept, text).mapInArrow(run, schema)
 
 
+def in_row(texts: list[bytes], opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of some texts, each with its end, one after the other; starts and sizes of their words."""
+    ids = np.frombuffer(b"".join([x for t in texts for x in (t, STOP)]), "u2").astype(np.int64)
+    starts = np.nonzero(opens[ids])[0]
+    return ids, starts, np.diff(np.append(starts, len(ids)))
+
+
 class Words:
     """The words of some texts, by distinct ones: ids one after the other, starts, sizes and hashes; and each text's words."""
 
     def __init__(self, texts: list[bytes], opens: np.ndarray):
-        ids = np.frombuffer(b"".join([x for t in texts for x in (t, STOP)]), "u2").astype(np.int64)
-        starts = np.nonzero(opens[ids])[0]
-        sizes = np.diff(np.append(starts, len(ids)))
+        ids, starts, sizes = in_row(texts, opens)
         h = hashes(ids, starts, sizes)
-        self.hash, at, self.targets = np.unique(h, return_index=True, return_inverse=True)
+        self.hash, at, self.targets = distinct(h)
         self.ids, self.starts, self.sizes = gathered(ids, starts[at], sizes[at])
         ends = np.nonzero(ids[starts] == END)[0]
         self.n = np.diff(np.append(-1, ends))  # words and the end of each text
@@ -141,11 +162,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers in order, a place of each, and where each number is among them: as np.unique, without sorting them all."""
+    each = pa.array(h).dictionary_encode()
+    values, which = each.dictionary.to_numpy(), each.indices.to_numpy()
+    order = np.argsort(values)
+    rank, at = np.empty(len(values), np.int64), np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    at[which] = np.arange(len(h))
+    return values[order], at[order], rank[which]
+
+
 def hashes(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, by their ids in order."""
-    place = np.arange(len(ids)) - np.repeat(starts, sizes)
-    each = mixed((ids + 1 + (place << 16)).astype(np.uint64))
-    return mixed(np.add.reduceat(each ^ (each >> np.uint64(32)), starts)).view(np.int64) if len(starts) else np.zeros(0, np.int64)
+    """64-bit hashes of words, by their ids in order: a random number for each id, times an odd one for its place."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    by_id, by_place = mixed(np.arange(1, END + 2, dtype=np.uint64)), mixed(np.arange(int(sizes.max()), dtype=np.uint64) + np.uint64(1 << 32)) | np.uint64(1)
+    each = np.take(by_id, ids)
+    each *= np.take(by_place, np.arange(len(ids)) - np.repeat(starts, sizes))
+    return mixed(np.add.reduceat(each, starts)).view(np.int64)
 
 
 def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,29 +189,40 @@ def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     return ids[np.repeat(starts - new, sizes) + np.arange(int(sizes.sum()))], new, sizes
 
 
+def sums(of: np.ndarray, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, singly: int) -> np.ndarray:
+    """The table's rows of each group added up; one after the other, as most groups are small, and what is beyond singly by reduceat."""
+    order = np.argsort(-np.minimum(sizes, singly + 1).astype(np.int8), kind="stable")  # groups that still have rows come first
+    at, n = starts[order], np.bincount(np.minimum(sizes, singly + 1), minlength=singly + 2)[::-1].cumsum()[::-1]  # n[k]: groups of k rows or more
+    out = np.take(of, rows[at], axis=0)
+    for k in range(1, singly):
+        if not n[k + 1]:
+            break
+        out[: n[k + 1]] += np.take(of, rows[at[: n[k + 1]] + k], axis=0)
+    if n[singly + 1]:
+        long = order[: n[singly + 1]]
+        more, new, _ = gathered(rows, starts[long] + singly, sizes[long] - singly)
+        out[: len(long)] += np.add.reduceat(np.take(of, more, axis=0), new, axis=0)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return np.take(out, back, axis=0)
+
+
 def means(of: np.ndarray, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Mean of the table's rows of each word; id after id, as words are short, and the longest by reduceat."""
-    out, left = np.take(of, rows[starts], axis=0), np.nonzero(sizes > 1)[0]
-    for k in range(1, 12):
-        out[left] += np.take(of, rows[starts[left] + k], axis=0)
-        left = left[sizes[left] > k + 1]
-    if len(left):
-        more, new, _ = gathered(rows, starts[left] + 12, sizes[left] - 12)
-        out[left] += np.add.reduceat(of[more], new, axis=0)
-    return out / sizes[:, None].astype(np.float32)
+    """Mean of the table's rows of each word."""
+    return sums(of, rows, starts, sizes, 12) / sizes[:, None].astype(np.float32)
 
 
 def word_counts(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """h (hash), ids and c of every distinct word of all texts, the end among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opens = Subwords(path).opens
+        opens = vocabulary_of(path).opens
         held: list[tuple] = []
 
         def merged() -> tuple:
             h, c = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
             ids, sizes = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
-            each, at, which = np.unique(h, return_index=True, return_inverse=True)
+            each, at, which = distinct(h)
             ids, _, sizes = gathered(ids, (np.cumsum(sizes) - sizes)[at], sizes[at])
             return each, np.bincount(which, c).astype(np.int64), ids, sizes
 
@@ -187,8 +233,8 @@ def word_counts(tokens: DataFrame, path: str | None = None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(h), words, pa.array(c)], ["h", "ids", "c"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                w = Words(batch.column(0).slice(i, 512).to_pylist(), opens)
+            for i in range(0, batch.num_rows, TEXTS):
+                w = Words(batch.column(0).slice(i, TEXTS).to_pylist(), opens)
                 held.append((w.hash, np.bincount(w.targets), w.ids, w.sizes))
                 if sum(len(x[2]) for x in held) > COUNTED:
                     held = [merged()]
@@ -285,17 +331,18 @@ def followed(tokens: DataFrame, row: np.ndarray, path: str | None, *, column: np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, column, kinds = shared.value
-        opens, total = Subwords(path).opens, np.zeros(ROWS * width, np.int64)
+        opens, total = vocabulary_of(path).opens, np.zeros(ROWS * width, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                w = Words(batch.column(0).slice(i, 512).to_pylist(), opens)
-                before = np.concatenate([[w.end], w.targets[:-1]])  # every text ends with the end
+            for i in range(0, batch.num_rows, TEXTS):
+                texts = batch.column(0).slice(i, TEXTS).to_pylist()
                 if column is None:
+                    w = Words(texts, opens)
+                    before = np.concatenate([[w.end], w.targets[:-1]])  # every text ends with the end
                     cell = row[w.firsts()][before] * width + kinds_of(kinds, w.ids, w.starts, w.sizes)[w.targets]
                 else:
-                    each = w.sizes[before]
-                    ids = w.ids[np.repeat(w.starts[before] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
-                    cell = row[ids] * width + np.repeat(column[w.firsts()][w.targets], each)
+                    ids, starts, sizes = in_row(texts, opens)
+                    after = np.roll(column[ids[starts]], -1)  # after the last end comes the first word, as after any end
+                    cell = row[ids] * width + np.repeat(after, sizes)
                 total += np.bincount(cell, minlength=len(total))
         yield cells(total)
 
@@ -405,7 +452,7 @@ class Model:
         np.exp(np.clip(e, -MOST, MOST, out=e), out=e)
         e *= self.causal
         e[first, :, :BLOCK] = 0
-        e /= (e @ np.ones((2 * BLOCK, 1), np.float32))
+        e /= (e.reshape(-1, 2 * BLOCK) @ np.ones((2 * BLOCK, 1), np.float32)).reshape(-1, BLOCK, 1)
         h = np.matmul(e, v)
         d = h.reshape(-1, DIM) @ self.a["o"]
         d += np.take(self.a["next"], before, axis=0)
@@ -435,7 +482,11 @@ class Model:
         seen = self.back >= 0
         for step, at in enumerate(places.tolist(), 1):
             part = slice(at, min(n, at + batch))
-            here, inputs = np.unique(lay["inputs"][part.start * BLOCK : (part.stop + 1) * BLOCK], return_inverse=True)
+            inputs = lay["inputs"][part.start * BLOCK : (part.stop + 1) * BLOCK]
+            order, *groups = grouped(inputs)
+            here = inputs[order[groups[0]]]
+            inputs = np.empty(len(order), np.int64)
+            inputs[order] = np.repeat(np.arange(len(here)), groups[1])
             rows, starts, size = gathered(lay["rows"], lay["starts"][here], lay["size"][here])
             q, k, v, e, h, d = self.forward(means(p["tables"], rows, starts, size), inputs, lay["first"][part], rows[starts][inputs[BLOCK:]])
             d /= d @ np.ones((CLASSES, 1), np.float32)
@@ -444,7 +495,7 @@ class Model:
             d *= (goal >= 0)[:, None] / np.float32(max(1, (goal >= 0).sum()))
             dh = (d @ p["o"].T).reshape(h.shape)
             dp = np.matmul(dh, np.ascontiguousarray(v.transpose(0, 2, 1)))
-            ds = e * (dp - np.matmul((e * dp), np.ones((2 * BLOCK, 1), np.float32)))
+            ds = e * (dp - ((e * dp).reshape(-1, 2 * BLOCK) @ np.ones((2 * BLOCK, 1), np.float32)).reshape(-1, BLOCK, 1))
             grads = {"o": h.reshape(-1, DIM).T @ d, "r": np.bincount(self.back[seen], ds.sum(axis=0)[seen], 2 * BLOCK).astype(np.float32)}
             each = np.zeros((len(inputs), 3 * DIM), np.float32)
             each[BLOCK:, :DIM] = np.matmul(ds, k).reshape(-1, DIM)
@@ -452,13 +503,17 @@ class Model:
                 own = each[:, name * DIM : (name + 1) * DIM]  # windows overlap: a key is in two of them
                 own[:-BLOCK] += g[:, :BLOCK].reshape(-1, DIM)
                 own[BLOCK:] += g[:, BLOCK:].reshape(-1, DIM)
-            by_word = added(each, inputs, len(here)) / size[:, None]
-            grads["tables"] = added(np.repeat(by_word, size, axis=0), rows, ROWS).astype(np.float32)
+            by_word = sums(each, order, *groups, 4) / size[:, None].astype(np.float32)
+            order, *groups = grouped(rows)
+            grads["tables"] = np.zeros_like(p["tables"])
+            grads["tables"][rows[order[groups[0]]]] = sums(by_word, np.repeat(np.arange(len(here)), size)[order], *groups, 4)
             for name, g in grads.items():
                 a, b, root = m[name]
                 a *= np.float32(0.9)
                 b *= np.float32(0.99)
-                b += np.float32(0.01) * (g * g)
+                np.multiply(g, g, out=root)
+                root *= np.float32(0.01)
+                b += root
                 g *= np.float32(0.1)
                 a += g
                 np.sqrt(b, out=root)
@@ -471,10 +526,12 @@ class Model:
             self.a[name] = np.ascontiguousarray(p["tables"][:, k * DIM : (k + 1) * DIM])
 
 
-def added(each: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
-    """Rows added up by where they belong, of n places."""
-    width = each.shape[1]
-    return np.bincount((to[:, None] * width + np.arange(width)).ravel(), each.ravel(), n * width).reshape(n, width)
+def grouped(to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of places in which equal numbers stand together, where each number's places start there, and how many they are."""
+    order = np.argsort(to.astype(np.uint16) if to.max() < 1 << 16 else to, kind="stable")  # by digits, if so short
+    sorted_ = to[order]
+    starts = np.append(0, np.nonzero(sorted_[1:] != sorted_[:-1])[0] + 1)
+    return order, starts, np.diff(starts, append=len(to))
 
 
 def learn_in_tasks(tokens: DataFrame, model: Model, rate: float, path: str | None) -> int:
@@ -484,7 +541,7 @@ def learn_in_tasks(tokens: DataFrame, model: Model, rate: float, path: str | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(shared.value | {k: shared.value[k].copy() for k in names})  # the broadcast arrays serve other tasks of this worker
-        opens, texts, held, seen = Subwords(path).opens, [], 0, 0
+        opens, texts, held, seen = vocabulary_of(path).opens, [], 0, 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 texts.append(t)
@@ -573,11 +630,11 @@ def scored(tokens: DataFrame, model: Model, vocabulary: DataFrame, *, path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, arrays = shared.value
-        opens, model = Subwords(path).opens, Model(arrays)
+        opens, model = vocabulary_of(path).opens, Model(arrays)
         item = pa.struct([("h", pa.int64()), ("spelled", pa.float64()), ("known", pa.float64())])
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
+            for i in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(i, TEXTS)
                 w = Words(batch.column(at).to_pylist(), opens)
                 starts = np.cumsum(w.n) - w.n
                 lay = model.layout(w)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakequill.llm import bpe, exact_dedup, language_id, licenses, lm_scoring, mixing, near_dedup, secrets, substring_dedup, topk_search
@@ -640,3 +641,30 @@ def test_lm_attention_learns_from_every_text(odd, monkeypatch):
     assert sum(taken) == sum(r["c"] for r in rows_of(vocabulary)) and all(taken)
     each = [Counter(bytes(r["ids"]) for r in rows_of(part)) for part in lm_scoring.dealt(tokens, lm_scoring.SHARES)]
     assert sum(each, Counter()) == Counter(bytes(r["ids"]) for r in rows_of(tokens)) and not each[0] & each[1]
+
+
+def test_lm_encodes_distinct_words_together(monkeypatch):
+    """Spaces beyond ASCII at words' ends, in them and alone; the same ids as word by word, with one call for many words."""
+    odd = ["a   b x  　", " ", "'s it's   'll\x1f \x1c y\u0085 \u0085z", "CAFÉ İ 1,000 <|endoftext|>", " \t\x0b lead trail\x0c\r ", "", None, "​ ﻿ \U0001f600‍"]
+    calls, encode, fresh = [], SUBWORDS.encode, lm_scoring.Subwords()
+    monkeypatch.setattr(fresh, "encode", lambda t: calls.append(t) or encode(t))
+    texts = [*odd, *[f"w{k} v{k % 90} w{k}" for k in range(400)]]
+    plain = [b"".join(np.array(encode(" " + w.decode()), "<u2").tobytes() for w in (t or "").encode().lower().split()) for t in texts]
+    assert fresh.texts_ids(pa.array([None, *texts], pa.string()).slice(1)).to_pylist() == plain
+    assert len(calls) < 20
+    assert fresh.texts_ids(pa.array([], pa.string())).to_pylist() == [] and fresh.texts_ids(pa.array([None, "", " "], pa.string())).to_pylist() == [b""] * 3
+
+
+@pytest.mark.parametrize("singly", [1, 4, 12])
+def test_lm_sums_of_groups(singly):
+    rng = np.random.default_rng(3)
+    for size in (1, 3, 40):
+        sizes, of = rng.integers(1, size + 1, 50), rng.normal(size=(9, 5))
+        rows = rng.integers(0, 9, sizes.sum())
+        starts = np.cumsum(sizes) - sizes
+        assert np.allclose(lm_scoring.sums(of, rows, starts, sizes, singly), [of[rows[a : a + n]].sum(axis=0) for a, n in zip(starts, sizes, strict=True)])
+    h = rng.integers(-5, 5, 100)
+    values, at, which = lm_scoring.distinct(h)
+    assert values.tolist() == sorted(set(h.tolist())) and (h[at] == values).all() and (values[which] == h).all()
+    order, begin, n = lm_scoring.grouped(h + 5)
+    assert [(h[order[b]], k) for b, k in zip(begin, n, strict=True)] == sorted(Counter(h.tolist()).items())
