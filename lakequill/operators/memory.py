@@ -23,15 +23,16 @@ def new_only(incoming: DataFrame, known: DataFrame, *, vector: str = "embedding"
     With order, they come in that order, and one that nearly equals an incoming one that stayed goes
     too; of equal vectors the first stays (ties: any one). Memories without a vector stay.
     """
+    named = lambda rows, *more: rows.select([F.col(c).alias(f"_is{k}") for k, c in enumerate([*similarity.CLASS, *more])])
     marks = [f"_is{k}" for k in range(3)]
-    key = lambda df: df.select([F.col(c).alias(m) for c, m in zip(similarity.CLASS, marks, strict=True)])
     classed = similarity.keyed(incoming, vector, scope).withColumnsRenamed(dict(zip(similarity.CLASS, marks, strict=True)))
     blank = incoming.where(~has_angle(vector))
-    fresh = classed.join(key(similarity.near_any(incoming, known, floor=floor, vector=vector, scope=scope)), marks, "left_anti")
     if order:
-        firsts = similarity.first_of_each(fresh.select(*incoming.columns), order=order, vector=vector, scope=scope, floor=floor)
-        firsts = firsts.select(*[F.col(c).alias(m) for c, m in zip(similarity.CLASS, marks, strict=True)], F.col("_order").alias("_is3"))
-        fresh = fresh.withColumn("_is3", F.col(order)).join(firsts, [*marks, "_is3"], "left_semi").dropDuplicates([*marks, "_is3"])
+        text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias("_text")
+        firsts = similarity.first_of_each(incoming, order=order, vector=vector, scope=scope, floor=floor, known=known)
+        fresh = classed.withColumn("_is3", text(order)).join(named(firsts.select(*similarity.CLASS, text("_order")), "_text"), [*marks, "_is3"], "left_semi").dropDuplicates([*marks, "_is3"])
+    else:
+        fresh = classed.join(named(similarity.near_any(incoming, known, floor=floor, vector=vector, scope=scope)), marks, "left_anti")
     return fresh.select(*incoming.columns).unionAll(blank)
 
 

@@ -44,14 +44,15 @@ def usable(vectors: DataFrame, vector: str) -> DataFrame:
     return vectors.where(has_angle(vector))
 
 
-def train(vectors: DataFrame, *, lists: int, id_col: str, vector: str, sample: int = SAMPLE, rounds: int = 8) -> np.ndarray:
-    """Unit centroids, `lists` at most, from a sample that the hash of the id draws: spherical k-means."""
-    total = vectors.count()
-    if not total:
-        return np.zeros((0, 1))
-    share = min(1.0, 1.2 * sample / total)
-    drawn = vectors.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = unit(matrix(drawn.select(id_col, vector).orderBy(F.xxhash64(id_col), id_col).limit(sample).toArrow().column(1).combine_chunks()))
+def drawn(vectors: DataFrame, total: int, *, id_col: str, vector: str, sample: int = SAMPLE) -> np.ndarray:
+    """Unit vectors, `sample` of the total at most, that the hash of the id draws, in its order."""
+    share = min(1.0, 1.2 * sample / max(1, total))
+    some = vectors.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    return unit(matrix(some.select(id_col, vector).orderBy(F.xxhash64(id_col), id_col).limit(sample).toArrow().column(1).combine_chunks()))
+
+
+def clustered(rows: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
+    """Unit centroids, `lists` at most, of unit vectors: spherical k-means."""
     centroids = rows[np.random.default_rng(7).permutation(len(rows))[:lists]]
     for _ in range(rounds):
         home = np.argmax(rows @ centroids.T, axis=1)
@@ -62,6 +63,12 @@ def train(vectors: DataFrame, *, lists: int, id_col: str, vector: str, sample: i
     return centroids
 
 
+def train(vectors: DataFrame, *, lists: int, id_col: str, vector: str, sample: int = SAMPLE) -> np.ndarray:
+    """Unit centroids, `lists` at most, from a sample that the hash of the id draws."""
+    total = vectors.count()
+    return clustered(drawn(vectors, total, id_col=id_col, vector=vector, sample=sample), lists) if total else np.zeros((0, 1))
+
+
 def assigned(vectors: DataFrame, centroids: np.ndarray, vector: str) -> DataFrame:
     """vectors with list (number of the nearest centroid) and norm."""
     names = vectors.columns

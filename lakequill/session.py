@@ -35,8 +35,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lakequill/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back: a lost executor costs a reread, not a rerun."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df, written once to the shared folder and read back: a lost executor costs a reread, not a rerun.
+
+    by: its last column, of which each value gets a folder.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -111,6 +111,51 @@ def test_new_only_in_order(spark):
     assert memory.new_only(known.limit(0), known, floor=0.92, order="id").count() == 0
 
 
+def counted(monkeypatch):
+    """Rows that the joins write to the shared folder from now on, by name."""
+    rows, put = {}, similarity.stored
+
+    def stored(df, name, *more, **by):
+        out = put(df, name, *more, **by)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "stored", stored)
+    return rows
+
+
+def test_new_only_writes_no_pairs(spark, monkeypatch):
+    """Vectors that are nearly all alike: what is written doesn't grow with pairs."""
+    gen = np.random.default_rng(5)
+    rows = [(i, "w", [float(x) for x in 1 + 0.2 * gen.standard_normal(8)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, workspace_id string, embedding array<double>")
+    written = counted(monkeypatch)
+    assert [r["id"] for r in memory.new_only(df, df.limit(0), floor=0.5, order="id").collect()] == [0]
+    assert sum(written.values()) <= 4 * len(rows), written
+
+
+@pytest.mark.parametrize("known_rows", [0, 3, 60])
+def test_new_only_in_runs(spark, monkeypatch, known_rows):
+    """More vectors than a block in a scope, and more that stay; known ones in single precision, fewer than a block or more."""
+    monkeypatch.setattr(similarity, "BLOCK", 40)
+    monkeypatch.setattr(similarity, "TILE", 8)
+    gen = np.random.default_rng(6)
+    vector = lambda: [float(x) for x in gen.standard_normal(6).astype(np.float32)]
+    rows = [(i, None if i % 5 == 0 else "w", vector()) for i in range(130)]
+    rows += [(200 + i, rows[i][1], rows[i][2]) for i in range(0, 130, 9)]  # later copies
+    rows = [rows[i] for i in gen.permutation(len(rows))]
+    known = [(1000 + i, "w" if i % 8 else "x", vector()) for i in range(known_rows)]
+    schema = "id long, workspace_id string, embedding array<{}>"
+    near = lambda a, b: a[1] == b[1] and cosine(a[2], b[2]) >= 0.75
+    want = []
+    for r in sorted(rows):
+        if not any(near(r, k) for k in [*known, *want]):
+            want.append(r)
+    assert sum(r[1] == "w" for r in want) > 40 or known_rows == 60
+    got = memory.new_only(spark.createDataFrame(rows, schema.format("double")), spark.createDataFrame(known, schema.format("float")), floor=0.75, order="id")
+    assert sorted(r["id"] for r in got.collect()) == [r[0] for r in want]
+
+
 def test_with_group(spark):
     rows = spark.createDataFrame([(i, i % 7 if i % 2 else 0, None if i % 9 == 0 else i) for i in range(200)], "i long, k long, x long")
     groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k <> 3")
