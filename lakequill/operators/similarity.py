@@ -220,16 +220,30 @@ def joined(left: DataFrame, right: DataFrame | None, floor: float, pivots: int |
 def near_duplicates(vectors: DataFrame, *, floor: float, id_col: str, vector: str, scope: str, pivots: int | None = None) -> DataFrame:
     """scope, a, b, similarity of all pairs a < b of one scope whose similarity is floor or more.
 
-    Null scopes are one scope. Vectors that are null, not finite or of length zero have no pairs.
-    Copies of a vector are compared once and come together again in the result alone; where they are
-    many, use near_classes.
+    Null scopes are one scope. Rows without an id, and vectors that are null, not finite or of length
+    zero, have no pairs. Copies of a vector are compared once and come together again in the result
+    alone; where they are many, use near_classes. Links between vectors without copies are the result
+    as they are: they are neither joined nor shuffled, and written only if other vectors have copies.
     """
-    links, members = near_classes(vectors, floor=floor, id_col=id_col, vector=vector, scope=scope, pivots=pivots)
-    named = lambda name, k: members.select("_scope", F.col("_k1").alias(f"_{k}1"), F.col("_k2").alias(f"_{k}2"), F.col(id_col).alias(name))
-    across = links.join(named("a", "a"), ["_scope", "_a1", "_a2"]).join(named("b", "b"), ["_scope", "_b1", "_b2"]).select("_scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
-    copies = named("a", "a").join(named("b", "a"), ["_scope", "_a1", "_a2"]).where("a < b").select("_scope", "a", "b", F.lit(1.0).alias("similarity"))
-    scopes = members.select("_scope", F.col(scope)).distinct()
-    return across.unionAll(copies).join(scopes, "_scope").select(scope, "a", "b", "similarity")
+    rows = keyed(vectors.where(F.col(id_col).isNotNull()).select(id_col, scope, vector), vector, scope)
+    one = stored(classes(rows, vector, F.min(id_col).alias("_id"), F.any_value(scope).alias("_own"), F.count(F.lit(1)).alias("_n")), "similarity-classes")
+    many = one.where("_n > 1").select(*CLASS)
+    result = lambda links, a, b: links.select(F.col("_a_own").alias(scope), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "similarity").where("a < b")
+    if many.isEmpty():
+        return result(joined(one, None, floor, pivots, ("_id", "_own")), "_a_id", "_b_id")
+    marked = one.withColumns({f"_c{k}": F.when(F.col("_n") > 1, F.col(f"_k{k}")) for k in (1, 2)})
+    links = stored(joined(marked, None, floor, pivots, ("_id", "_own", "_c1", "_c2")), "similarity-links")
+    members = stored(rows.join(many, CLASS, "left_semi").select(*CLASS, id_col, F.col(scope).alias("_own")), "similarity-members")
+
+    def spread(links: DataFrame, k: str) -> DataFrame:
+        """links with _a or _b, a row for each member of the class."""
+        key = [f"_{k}_c1", f"_{k}_c2"]
+        named = members.select("_scope", F.col("_k1").alias(key[0]), F.col("_k2").alias(key[1]), F.col(id_col).alias(f"_{k}"))
+        return links.where(F.col(key[0]).isNull()).withColumn(f"_{k}", F.col(f"_{k}_id")).unionByName(links.where(F.col(key[0]).isNotNull()).join(named, ["_scope", *key]))
+
+    mine, other = (members.select(*CLASS, "_own", F.col(id_col).alias(k)) for k in "ab")
+    copies = mine.join(other.drop("_own"), CLASS).where("a < b").select(F.col("_own").alias(scope), "a", "b", F.lit(1.0).alias("similarity"))
+    return result(spread(spread(links, "a"), "b"), "_a", "_b").unionAll(copies)
 
 
 def near_classes(vectors: DataFrame, *, floor: float, id_col: str, vector: str, scope: str, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:

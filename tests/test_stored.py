@@ -124,6 +124,29 @@ def counted(monkeypatch):
     return rows
 
 
+def test_near_duplicates_writes_no_copies(spark, vectors, monkeypatch):
+    """A low floor, with which pivots leave nothing out: every vector is written once, and links without copies aren't joined."""
+    _, df = vectors
+    written = counted(monkeypatch)
+    got = similarity.near_duplicates(df.where("chunk_id < 600"), floor=0.1, id_col="chunk_id", vector="embedding", scope="label")
+    assert got.count() > 600 and sum(written.values()) == 600, written
+    assert "Join" not in got.select("a")._jdf.queryExecution().executedPlan().toString().replace("BroadcastHashJoin", "")
+
+
+@pytest.mark.parametrize("pivots", [None, 5])
+def test_near_duplicates_with_odd_ids_and_copies(spark, monkeypatch, pivots):
+    """Copies of some vectors, rows without an id, ids that come twice; single precision, blocks that don't come out even."""
+    monkeypatch.setattr(similarity, "BLOCK", 12)
+    monkeypatch.setattr(similarity, "TILE", 5)
+    monkeypatch.setattr(similarity, "PIECE_BYTES", 200)
+    gen = np.random.default_rng(8)
+    rows = [(f"d{i:03}", None if i % 4 == 0 else i % 4, [float(x) for x in gen.standard_normal(4).astype(np.float32)]) for i in range(120)]
+    rows += [(f"e{i:03}", rows[i % 7][1], rows[i % 7][2]) for i in range(20)] + [("d003", 3, rows[1][2]), (None, 3, rows[3][2]), ("d007", 3, rows[7][2])]
+    want = sorted((str(s), a, b, cosine(x, y)) for a, s, x in rows for b, t, y in rows if a and b and a < b and s == t and cosine(x, y) >= 0.6)
+    got = similarity.near_duplicates(spark.createDataFrame(rows, "id string, scope long, embedding array<float>"), floor=0.6, id_col="id", vector="embedding", scope="scope", pivots=pivots)
+    assert sorted((str(r["scope"]), r["a"], r["b"], r["similarity"]) for r in got.collect()) == want
+
+
 def test_new_only_writes_no_pairs(spark, monkeypatch):
     """Vectors that are nearly all alike: what is written doesn't grow with pairs."""
     gen = np.random.default_rng(5)
