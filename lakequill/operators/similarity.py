@@ -80,7 +80,7 @@ def near_pairs(x: np.ndarray, y: np.ndarray, floor: float, later: bool = False)
 
 
 def pivots_for(both: DataFrame, total: int, width: int, theta: float, once: bool, most: float, asked: int | None) -> np.ndarray | None:
-    """The most pivots with which a sample's vectors are guests of `most` cells on average; None for none."""
+    """The most pivots with which a sample's vectors are guests of `most` cells on average, and of half of them at most; None for none."""
     if total < 2 or asked == 1:
         return None
     rows = drawn(both.select(F.concat_ws("/", *CLASS).alias("_id"), "_v"), total, id_col="_id", vector="_v", sample=max(1, min(16 * PIVOTS, BLOCK_BYTES // (8 * width))))
@@ -92,7 +92,7 @@ def pivots_for(both: DataFrame, total: int, width: int, theta: float, once: bool
         some = rows[np.random.default_rng(3).permutation(len(rows))[: n + 2048]]
         angles = np.arccos(np.clip(some[-2048:] @ some[:n].T, -1, 1))
         guests = (angles <= angles.min(axis=1, keepdims=True) + 2 * theta).sum(axis=1).mean() - 1
-        if guests / (1 + once) <= most:
+        if guests / (1 + once) <= most and guests <= n / 2:
             return clustered(rows, n)
     return None
 

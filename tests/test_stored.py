@@ -147,6 +147,19 @@ def test_near_duplicates_with_odd_ids_and_copies(spark, monkeypatch, pivots):
     assert sorted((str(r["scope"]), r["a"], r["b"], r["similarity"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("floor, some", [(0.2, False), (0.97, True)])
+def test_pivots_only_where_they_prune(spark, vectors, monkeypatch, floor, some):
+    """The sample decides on pivots; the pairs are the same."""
+    chosen, choose = [], similarity.pivots_for
+    monkeypatch.setattr(similarity, "pivots_for", lambda *x: chosen.append(choose(*x)) or chosen[-1])
+    rows, df = vectors
+    tight = [(i, (np.array(v) * 0.02 + np.array(rows[i % 12][1])).tolist(), 1) for i, v in rows]
+    got = similarity.near_duplicates(spark.createDataFrame(tight, df.schema), floor=floor, id_col="chunk_id", vector="embedding", scope="label")
+    want = sorted((a, b) for a, x, _ in tight for b, y, _ in tight if a < b and cosine(x, y) >= floor)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == want
+    assert (chosen[0] is not None) == some
+
+
 def test_new_only_writes_no_pairs(spark, monkeypatch):
     """Vectors that are nearly all alike: what is written doesn't grow with pairs."""
     gen = np.random.default_rng(5)
